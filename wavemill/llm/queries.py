@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, repetition, tokenize
+from . import mixing, near, packing, repetition, tokenize
 from .common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,14 @@ def p3_share(spark: SparkSession, sf: str) -> DataFrame:
     return _repetition(spark, sf)
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return near.question_and_caption_texts(table(spark, sf, "generated_qa"), table(spark, sf, "generated_caption"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return near.near_duplicates(_texts(spark, sf)).select("kind", "id_low", "id_high")
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf, "documents"))
 
@@ -46,7 +54,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_pack, p1_fill, p3_found, p3_share, p7_ids, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (p1_pack, p1_fill, p3_found, p3_share, p5_found, p7_ids, p8_mixture, p8_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
