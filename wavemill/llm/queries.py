@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near, packing, repetition, tokenize
+from . import mixing, near, packing, repetition, tokenize, truncation
 from .common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +53,16 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.share_report(cut(p8_mixture(spark, sf)), table(spark, sf, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf, "documents")).filter("cut").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.rates(truncation.truncated(table(spark, sf, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_pack, p1_fill, p3_found, p3_share, p5_found, p7_ids, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (p1_pack, p1_fill, p3_found, p3_share, p5_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
