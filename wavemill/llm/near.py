@@ -32,7 +32,11 @@ SLICE = 2048
 
 
 class Bags:
-    """Turns texts into sorted arrays of element codes."""
+    """Turns texts into sorted arrays of element codes of 32 bits, to keep shuffled bags small.
+
+    Two different elements of a pair of texts take one code about once in a million pairs; this could matter only to a
+    pair that misses the threshold by a single word.
+    """
 
     def __init__(self):
         self.seen: dict[str, int] = {}
@@ -51,7 +55,8 @@ class Bags:
         start[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
         at = np.arange(len(flat))
         nth = at - np.maximum.accumulate(np.where(start, at, 0))
-        code = mix64(flat + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        code = mix64(flat + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        code = (code >> np.uint64(32)).astype(np.uint32).view(np.int32)
         ends = np.cumsum(np.bincount(owner, minlength=len(parts)))
         return [np.sort(x) for x in np.split(code, ends[:-1])]
 
@@ -75,7 +80,7 @@ def bag_rows(df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ids, pa.int64()), array], names).filter(keep)
 
     rows = df.filter(not_blank("text")).select("kind", "rec_id", "loaded_at", "split", "text")
-    return rows.mapInArrow(run, "kind string, rec_id bigint, loaded_at timestamp, split string, bag_id bigint, bag array<bigint>")
+    return rows.mapInArrow(run, "kind string, rec_id bigint, loaded_at timestamp, split string, bag_id bigint, bag array<int>")
 
 
 class Signer:
@@ -156,25 +161,26 @@ class Signer:
             out.append((mix64(sig + salts[left[own]]), left[own], flag))
             left = left[short]
         sig, own, flag = (np.concatenate(x) for x in zip(*out))
-        return sig, own, flag, n
+        order = np.argsort(own, kind="stable")  # rows of one record side by side: what they share compresses well
+        return sig[order], own[order], flag[order], n
 
     @staticmethod
     def bitmaps(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
-        """128 parity bits a record: sets that differ in d elements differ in at most d bits."""
+        """192 parity bits a record: sets that differ in d elements differ in at most d bits."""
         owner = np.repeat(np.arange(len(sets)), n)
-        bit = (mix64(np.concatenate(sets).view(np.uint64)) & np.uint64(127)).astype(np.int64)
-        odd = np.bincount(owner * 128 + bit, minlength=len(sets) * 128).reshape(-1, 128) & 1
+        bit = (mix64(np.concatenate(sets).view(np.uint64)) % np.uint64(192)).astype(np.int64)
+        odd = np.bincount(owner * 192 + bit, minlength=len(sets) * 192).reshape(-1, 192) & 1
         return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
 def signatures(bags: DataFrame, frequent: list[tuple[int, int]], count: int, threshold: float) -> DataFrame:
-    """(sig, bag_no, meta, bits_a, bits_b) of bags (bag_no, kind, bag); meta = 2 * size + in the shorter prefix."""
+    """(sig, bag_no, meta, bits_a, bits_b, bits_c) of bags (bag_no, kind, bag); meta = 2 * size + in the shorter prefix."""
     frequent = sorted(frequent, key=lambda x: (x[1], x[0]))
     codes = np.array([c for c, _ in frequent], np.int64)
     sizes = np.array([2 if d <= PAIRS * count else 3 for _, d in frequent], np.int64)
     order = np.argsort(codes)
     spread = bags.sparkSession.sparkContext.broadcast((codes[order], order.astype(np.int64), sizes[order]))
-    names = ["sig", "bag_no", "meta", "bits_a", "bits_b"]
+    names = ["sig", "bag_no", "meta", "bits_a", "bits_b", "bits_c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(*spread.value, threshold)
@@ -182,17 +188,17 @@ def signatures(bags: DataFrame, frequent: list[tuple[int, int]], count: int, thr
             for at in range(0, big.num_rows, SLICE):
                 b = big.slice(at, SLICE)
                 lists = b.column(2)
-                values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+                values, ends = lists.values.to_numpy().astype(np.int64), lists.offsets.to_numpy()
                 sets = [values[ends[i] : ends[i + 1]] for i in range(len(ends) - 1)]
                 salts = np.array([xxhash.xxh64_intdigest(k.encode()) for k in b.column(1).to_pylist()], np.uint64)
                 sig, own, flag, n = signer.sign(sets, salts)
                 bits = signer.bitmaps(sets, n)
                 no = b.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((sig >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(no[own]), pa.array((2 * n[own] + flag).astype(np.int32)), pa.array(bits[own, 0]), pa.array(bits[own, 1])], names
+                    [pa.array((sig >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(no[own]), pa.array((2 * n[own] + flag).astype(np.int32)), *[pa.array(bits[own, c]) for c in range(3)]], names
                 )
 
-    return bags.select("bag_no", "kind", "bag").mapInArrow(run, "sig int, bag_no bigint, meta int, bits_a bigint, bits_b bigint")
+    return bags.select("bag_no", "kind", "bag").mapInArrow(run, "sig int, bag_no bigint, meta int, bits_a bigint, bits_b bigint, bits_c bigint")
 
 
 def similar_bags(bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -209,7 +215,7 @@ def similar_bags(bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = signatures(bags, frequent, counted, threshold)
     a, b = rows.alias("a"), rows.alias("b")
     size_a, size_b = F.shiftright("a.meta", 1), F.shiftright("b.meta", 1)
-    differ = F.bit_count(F.col("a.bits_a").bitwiseXOR(F.col("b.bits_a"))) + F.bit_count(F.col("a.bits_b").bitwiseXOR(F.col("b.bits_b")))
+    differ = sum(F.bit_count(F.col(f"a.bits_{c}").bitwiseXOR(F.col(f"b.bits_{c}"))) for c in "abc")
     smaller = (size_a < size_b) | ((size_a == size_b) & (F.col("a.bag_no") < F.col("b.bag_no")))
     # The test of a's flag names b as well: as a filter of one side it would be pushed below the exchange, and the
     # signatures would be shuffled twice instead of once for both sides.
@@ -226,18 +232,13 @@ def similar_bags(bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def members_and_bags(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (kind, rec_id, split, bag_no), one per record, and the different bags (bag_no, kind, bag), both written.
 
-    A record delivered several times counts with its last delivery; records with equal bags share one bag, numbered
-    by the kind and the smallest record id.
+    A record delivered several times counts with its last delivery; records with equal bags share one bag.
     """
     rows = cut(bag_rows(df))
+    bags = cut(rows.groupBy("kind", "bag_id").agg(F.first("bag").alias("bag")).withColumn("bag_no", F.monotonically_increasing_id()))
     last = first_per_key(rows, ["kind", "rec_id"], ["split", "bag_id"], "loaded_at")
-    number = last.groupBy("kind", "bag_id").agg(F.min("rec_id").alias("rec"))
-    kind_bit = F.when(F.col("kind") == "qa", 0).otherwise(1)
-    number = number.select("kind", "bag_id", (F.col("rec") * 2 + kind_bit).alias("bag_no"))
-    members = cut(last.join(number, ["kind", "bag_id"]).select("kind", "rec_id", "split", "bag_no", "bag_id"))
-    owner = members.filter(F.col("rec_id") * 2 + kind_bit == F.col("bag_no")).select("kind", "rec_id", "bag_id", "bag_no")
-    bags = cut(rows.join(owner, ["kind", "rec_id", "bag_id"]).select("bag_no", "kind", "bag").dropDuplicates(["bag_no"]))
-    return members.drop("bag_id"), bags
+    members = cut(last.join(bags.select("kind", "bag_id", "bag_no"), ["kind", "bag_id"]).select("kind", "rec_id", "split", "bag_no"))
+    return members, bags.select("bag_no", "kind", "bag")
 
 
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
