@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near, packing, repetition, tokenize, truncation
+from . import defects, mixing, near, packing, repetition, tokenize, truncation
 from .common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p1_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p1_pack(spark, sf), table(spark, sf, "pack_limits"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return defects.one_defect(defects.defect_labels(table(spark, sf, "generated_qa")))
+
+
+def p2_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return defects.defect_labels(table(spark, sf, "generated_qa"))
+
+
 def _repetition(spark: SparkSession, sf: str) -> DataFrame:
     both = repetition.both_kinds(table(spark, sf, "generated_qa"), table(spark, sf, "generated_caption"))
     return repetition.repetition(both, ["kind", "rec_id"])
@@ -62,7 +70,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_pack, p1_fill, p3_found, p3_share, p5_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_rates)}
+    return {f.__name__: f for f in (p1_pack, p1_fill, p2_found, p2_labels, p3_found, p3_share, p5_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
