@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import defects, mixing, near, packing, repetition, tokenize, truncation
+from . import defects, mixing, near, packing, repetition, splits, tokenize, truncation
 from .common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,19 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_duplicates(_texts(spark, sf)).select("kind", "id_low", "id_high")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.straddling(splits.records(table(spark, sf, "generated_qa"), table(spark, sf, "video_links")))
+
+
+def p6_splits(spark: SparkSession, sf: str) -> DataFrame:
+    rows = cut(splits.records(table(spark, sf, "generated_qa"), table(spark, sf, "video_links")))
+    return splits.grouped_split(rows, table(spark, sf, "split_targets"))
+
+
+def p6_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.split_report(p6_splits(spark, sf), table(spark, sf, "split_targets"))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf, "documents"))
 
@@ -70,7 +83,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_pack, p1_fill, p2_found, p2_labels, p3_found, p3_share, p5_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_rates)}
+    return {f.__name__: f for f in (p1_pack, p1_fill, p2_found, p2_labels, p3_found, p3_share, p5_found, p6_found, p6_splits, p6_shares, p7_ids, p8_mixture, p8_shares, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
