@@ -149,11 +149,17 @@ class EndModel:
 
 
 def sample_texts(df, key: str, text: str, most: int = SAMPLE, longest: int = 20_000) -> list[str]:
-    """At most so many different texts of at most so many code points, by the smallest hash of their key."""
+    """Different texts of at most so many code points, of about so many rows (never more), chosen by a hash of the key.
+
+    Only the chosen rows leave their tasks; nothing is shuffled or sorted.
+    """
     from pyspark.sql import functions as F
 
-    short = df.filter(F.col(text).isNotNull() & (F.length(text) <= longest)).select(text, F.xxhash64(F.lit(3), key).alias("_h"))
-    return [r[0] for r in short.distinct().orderBy("_h", text).limit(most).collect()]
+    space = 1 << 30
+    share = min(1.0, most / max(df.count(), 1))
+    chosen = F.pmod(F.xxhash64(F.lit(3), key), F.lit(space)) < int(share * space)
+    short = df.filter(chosen & F.col(text).isNotNull() & (F.length(text) <= longest)).select(key, text)
+    return sorted({r[1] for r in short.collect()[:most]})
 
 
 def fit(texts: Iterable[str], seed: int = 5, rounds: int = 6) -> EndModel:

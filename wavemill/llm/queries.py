@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import defects, mixing, near, packing, repetition, splits, tokenize, truncation
+from . import defects, mixing, near, overlap, packing, repetition, splits, tokenize, truncation
 from .common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,14 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return near.question_and_caption_texts(table(spark, sf, "generated_qa"), table(spark, sf, "generated_caption"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.as_pairs(overlap.cross_split(_texts(spark, sf)))
+
+
+def p4_report(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlap_report(cut(overlap.cross_split(_texts(spark, sf))))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_duplicates(_texts(spark, sf)).select("kind", "id_low", "id_high")
 
@@ -83,7 +91,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_pack, p1_fill, p2_found, p2_labels, p3_found, p3_share, p5_found, p6_found, p6_splits, p6_shares, p7_ids, p8_mixture, p8_shares, p9_found, p9_rates)}
+    return {f.__name__: f for f in (p1_pack, p1_fill, p2_found, p2_labels, p3_found, p3_share, p4_found, p4_report, p5_found, p6_found, p6_splits, p6_shares, p7_ids, p8_mixture, p8_shares, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
