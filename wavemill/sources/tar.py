@@ -151,6 +151,7 @@ class TarSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TarSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
