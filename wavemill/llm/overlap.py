@@ -19,6 +19,7 @@ from .near import THRESHOLD
 GRAM, WINDOW = 4, 6
 #: Fingerprints in more than this share of a partition's texts are frequent; a window yields one only if all of it is.
 FREQUENT = 2e-4
+SEEDS, GAP = 16, 250_000
 TRAIN, HELD_OUT = "train", ["valid", "test"]
 SLICE = 2048
 
@@ -91,7 +92,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 def coverage(a: np.ndarray, b: np.ndarray, k: int = GRAM) -> float:
     """Share of a's words that align with b: seeds of k words, the longest collinear chain of them, each extended while
-    the words agree, and the gaps between neighbours aligned word by word."""
+    the words agree, and the gaps between neighbours aligned word by word. Runs that b holds more than SEEDS times are no
+    seeds, and a gap of more than GAP cells counts its common words in any order: so repetitive texts of any length
+    take time in proportion to their length."""
     x, y = a.tolist(), b.tolist()
     if not x:
         return 0.0
@@ -99,7 +102,7 @@ def coverage(a: np.ndarray, b: np.ndarray, k: int = GRAM) -> float:
     at: dict[tuple[int, ...], list[int]] = {}
     for j in range(len(y) - k + 1):
         at.setdefault(tuple(y[j : j + k]), []).append(j)
-    seeds = [(i, j) for i in range(len(x) - k + 1) for j in sorted(at.get(tuple(x[i : i + k]), ()), reverse=True)]
+    seeds = [(i, j) for i in range(len(x) - k + 1) if len(found := at.get(tuple(x[i : i + k]), ())) <= SEEDS for j in reversed(found)]
     tails: list[int] = []
     ends: list[int] = []
     back = [-1] * len(seeds)
@@ -133,6 +136,8 @@ def _common(x: list[int], y: list[int]) -> int:
     """Longest common subsequence of two gaps."""
     if not x or not y:
         return 0
+    if len(x) * len(y) > GAP:
+        return sum((Counter(x) & Counter(y)).values())
     row = [0] * (len(y) + 1)
     for u in x:
         last = 0
