@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def float_text(x: Column) -> Column:
-    """Shortest text of a double in the form the keys use: 1.0, 0.0005, 1e-05, 10000000.0, 1e+16."""
+    """Text of a double in the form the keys use: 1.0, 0.0005, 1e-05, 10000000.0, 1e+16. Its digits are those of the JVM,
+    which before version 19 writes a digit too many for a few values far beyond any time of a clip."""
     text = x.cast("string")
     mantissa = F.regexp_extract(text, r"\A(-?\d+\.\d+)E", 1)
     exponent = F.regexp_extract(text, r"E(-?\d+)\z", 1).try_cast("int")

@@ -73,7 +73,7 @@ def _ordinal(word: str) -> tuple[int, str] | None:
 def spelled_numbers(s: str) -> str:
     """Spelled numbers as digits: 'two hundred and five' 205, 'twenty first' 21st, 'three point one' 3.1, 'five dollars' $5,
     'ten percent' 10%, 'nineteen ninety' 1990, 'minus two' -2. Digits in the text join in: '3 million' 3000000."""
-    words, out, i = re.sub(r"\b(\d+(?:\.\d+)?)(st|nd|rd|th)?\b", r" \1\2 ", s).split(), [], 0
+    words, out, i = re.sub(r"([$£€¢]?)\b(\d+(?:\.\d+)?)(st|nd|rd|th)?\b", r" \1\2\3 ", s).split(), [], 0
 
     def number(at: int) -> tuple[str, int] | None:
         """Digits of the number from word at, and the place after it."""
@@ -130,7 +130,11 @@ def spelled_numbers(s: str) -> str:
     while i < len(words):
         w = words[i]
         sign = "-" if w in ("minus", "negative") else "+" if w in ("plus", "positive") else ""
-        found = number(i + 1) if sign else number(i)
+        if m := re.fullmatch(r"([$£€¢])(\d+(?:\.\d+)?)", w):
+            sign, words[i] = m[1], m[2]
+            found = number(i)
+        else:
+            found = number(i + 1) if sign else number(i)
         if found:
             value, j = found
             o = _ordinal(words[j]) if j < len(words) else None

@@ -6,15 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import after_last, strip, tag, word_count, word_set
+from .vectors import let
 
 TAGS = ["think", "semantic_elements", "answer"]
 
 
 def string_match(answer: Column, prediction: Column, choices: Column) -> Column:
     """All words of the answer are predicted and none that only wrong choices have; an empty prediction fails."""
-    said, right = word_set(prediction), word_set(answer)
-    wrong = F.flatten(F.transform(choices, lambda c: F.array_except(word_set(c), right)))
-    return (F.size(said) > 0) & (F.size(F.array_except(right, said)) == 0) & ~F.arrays_overlap(said, wrong)
+
+    def compare(right: Column) -> Column:
+        wrong = F.flatten(F.transform(choices, lambda c: F.array_except(word_set(c), right)))
+        return let(word_set(prediction), lambda said: (F.size(said) > 0) & (F.size(F.array_except(right, said)) == 0) & ~F.arrays_overlap(said, wrong))
+
+    return let(word_set(answer), compare)
 
 
 def partial_accuracy(predicted: Column, answer: Column) -> Column:

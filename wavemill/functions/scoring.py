@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .vectors import let
+
 EDITS = ["hits", "substitutions", "deletions", "insertions"]
 COUNTS = ["prediction_length", "reference_length", *[f"{k}{n}" for n in range(1, 5) for k in "mt"]]
 
@@ -62,9 +64,13 @@ def word_error_rate(df: DataFrame, reference: str, prediction: str, by: list[str
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n tokens, joined by a space."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(t) - n, F.lit(0)))
+        joined = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(n)]))
+        return F.when(F.size(t) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, runs)
 
 
 def clipped_matches(prediction: list[str], references: list[list[str]], n: int) -> tuple[int, int]:

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(x: Column, f) -> Column:
+    """f of x with x computed once a row: an outer expression inside a lambda is computed anew for every element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -20,8 +25,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Null for a vector of norm 0 or of NaN."""
-    n = norm(v)
-    return F.when((n > 0) & ~F.isnan(n), F.transform(v, lambda x: x.cast("double") / n))
+    return let(norm(v), lambda n: F.when((n > 0) & ~F.isnan(n), F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -29,9 +33,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    powers = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x.cast("double") - top)))
+    return let(powers, lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def argmax(v: Column) -> Column:
@@ -50,4 +53,4 @@ def masked_mean(vectors: Column, mask: Column) -> Column:
     kept = F.transform(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda z: F.transform(z["v"], lambda x: x.cast("double") * z["m"]))
     total = F.aggregate(F.slice(kept, 2, 1 << 30), kept[0], lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
     weight = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, x: s + x), F.lit(1e-9))
-    return F.transform(total, lambda x: x / weight)
+    return let(weight, lambda w: F.transform(total, lambda x: x / w))

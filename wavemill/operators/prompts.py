@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, strip, OMITTED
+from ..functions.text import OMITTED, contains_any, strip
+from ..functions.vectors import let
 
 CAPTION_TEMPLATE = [
     ("Audio caption", "audio_caption"), ("Audio tags", "audio_tags"), ("Sound class", "ast_classification"), ("Caption candidates", "conette_candidates"),
@@ -118,11 +119,9 @@ def masked_labels(ids: Column, pattern: list[int], ignore: int = -100) -> Column
     """Token ids with everything up to and including the first occurrence of the pattern ignored; all, if there is none."""
     n = len(pattern)
     starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ids) - n + 1, F.lit(1))), lambda i: F.slice(ids, i, n) == F.array(*[F.lit(p) for p in pattern]))
-    at = F.array_position(starts, True)
-    return F.transform(ids, lambda x, i: F.when((at > 0) & (i >= at - 1 + n), x).otherwise(ignore))
+    return let(F.array_position(starts, True), lambda at: F.transform(ids, lambda x, i: F.when((at > 0) & (i >= at - 1 + n), x).otherwise(ignore)))
 
 
 def mask_after_end(ids: Column, end: int, drop_unfinished: bool = False) -> Column:
     """1 up to and including the first end token, else 0; a row without it is all 1, or all 0 if dropped."""
-    at = F.array_position(ids, end)
-    return F.transform(ids, lambda x, i: F.when(at == 0, F.lit(0 if drop_unfinished else 1)).when(i < at, 1).otherwise(0))
+    return let(F.array_position(ids, end), lambda at: F.transform(ids, lambda x, i: F.when(at == 0, F.lit(0 if drop_unfinished else 1)).when(i < at, 1).otherwise(0)))

@@ -23,6 +23,7 @@ from ..operators import metrics as M
 from ..operators import outliers as O
 from ..operators import prompts as P
 from ..operators import rows as W
+from ..session import spread
 from ..sources import sinks, tar
 from ..streaming import events as E
 
@@ -525,7 +526,7 @@ def _fold(expr: str) -> str:
 @query(rf"""
 select doc_id, {_fold('lower(text)')} as words, regexp_replace(lower(text), '\b(uh|umm|um|er|ah)\b', '', 'g') as spoken from documents where text is not null and lang = 'en' and regexp_full_match(text, '[\x00-\x7f]*')""")
 def q48_normalise(spark, sf):
-    d = load(spark, sf, "documents").filter("text is not null and lang = 'en'").filter(c("text").rlike(r"\A[\x00-\x7f]*\z"))
+    d = spread(load(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id").filter("text is not null and lang = 'en'").filter(c("text").rlike(r"\A[\x00-\x7f]*\z"))
     return d.select("doc_id", T.numbers_to_words(F.lower("text")).alias("words"), T.no_fillers(F.lower("text")).alias("spoken"))
 
 
@@ -674,7 +675,7 @@ def q64_corpus_bleu(spark, sf):
 
 @query()
 def q65_transcripts(spark, sf):
-    d = load(spark, sf, "documents").filter("source = 'asr_transcript'")
+    d = spread(load(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id").filter("source = 'asr_transcript'")
     return d.select("doc_id", N.udf(N.asr)("text").alias("asr"), N.udf(N.asr_chinese)("text").alias("asr_zh"), N.vietnamese(c("text")).alias("letters"))
 
 

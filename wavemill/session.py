@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -15,3 +15,9 @@ def attach(spark: SparkSession) -> SparkSession:
     if ROOT not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, paths) if x)
     return spark
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores before costly expressions, where it comes from fewer files than there are cores."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= want else df.repartition(want, *keys)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "archive string, position int, name string, stem string, ext string, size bigint, content binary"
@@ -52,17 +52,10 @@ def members(path: str) -> Iterator[tuple]:
 
 class TarReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path, self.only = options.get("path", ""), None
-
-    def pushFilters(self, filters):
-        """A filter archive = x prunes the partitions; it is tested again later."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("archive",):
-                self.only = f.value
-            yield f
+        self.path, self.only = options.get("path", ""), set(filter(None, options.get("archives", "").split(",")))
 
     def partitions(self):
-        return [Archive(p) for p in _files(self.path) if self.only is None or p == self.only] or [Archive("")]
+        return [Archive(p) for p in _files(self.path) if not self.only or os.path.basename(p) in self.only] or [Archive("")]
 
     def read(self, partition: Archive):
         if partition.path:
@@ -130,7 +123,7 @@ class TarWriter(DataSourceWriter):
 
 
 class TarSource(DataSource):
-    """format("tar"): option path is a file, a folder or a pattern."""
+    """format("tar"): option path is a file, a folder or a pattern; archives, if given, names the files to read, by commas."""
 
     @classmethod
     def name(cls) -> str:
@@ -151,12 +144,12 @@ class TarSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TarSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, archives: list[str] | None = None) -> DataFrame:
+    """All archives of a path, or only those named: the rest isn't opened."""
     register(spark)
-    return spark.read.format("tar").load(path)
+    return spark.read.format("tar").option("archives", ",".join(archives or [])).load(path)
 
 
 def write(df: DataFrame, path: str, shard: str = "shard", name: str = "name", content: str = "content") -> None:
