@@ -52,6 +52,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores before heavy work on each row, where it comes from fewer files than there are cores.
+
+    A file that was written in one piece is read by one task. Larger inputs have more files and are left alone.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= want else df.repartition(want, *keys)
+
+
 def not_blank(column):
     """True for a text with anything besides white space; null counts as blank."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).rlike(r"(?U)\S")

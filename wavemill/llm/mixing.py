@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import FILE, TOKENIZER_DIR, encoder
-from .common import cut, first_per_key, mix64
+from .common import cut, first_per_key, mix64, spread
 
 BLOCK_TOKENS = 512
 SHARD_TOKENS = 1 << 17
@@ -48,7 +48,7 @@ def sizes_in_tokens(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, file: s
                 n = pa.array(bpe.count_batch(b.column(3).to_pylist()), pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), n], ["doc_id", "source", "loaded_at", "n_tokens"])
 
-    counted = docs.select("doc_id", "source", "loaded_at", "text").mapInArrow(run, "doc_id bigint, source string, loaded_at timestamp, n_tokens bigint")
+    counted = spread(docs.select("doc_id", "source", "loaded_at", "text"), "doc_id", "loaded_at").mapInArrow(run, "doc_id bigint, source string, loaded_at timestamp, n_tokens bigint")
     return first_per_key(counted, ["doc_id"], ["source", "n_tokens"], "loaded_at").filter("n_tokens > 0")
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, first_per_key, mix64, not_blank
+from .common import WORD, cut, first_per_key, mix64, not_blank, spread
 
 THRESHOLD = 0.7
 #: Elements up to this share of the bags are indexed alone, up to the second in pairs, the rest in triples.
@@ -80,7 +80,7 @@ def bag_rows(df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ids, pa.int64()), array], names).filter(keep)
 
     rows = df.filter(not_blank("text")).select("kind", "rec_id", "loaded_at", "split", "text")
-    return rows.mapInArrow(run, "kind string, rec_id bigint, loaded_at timestamp, split string, bag_id bigint, bag array<int>")
+    return spread(rows, "rec_id", "loaded_at").mapInArrow(run, "kind string, rec_id bigint, loaded_at timestamp, split string, bag_id bigint, bag array<int>")
 
 
 class Signer:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, first_per_key, mix64, not_blank
+from .common import WORD, cut, first_per_key, mix64, not_blank, spread
 from .near import THRESHOLD
 
 #: Words of a fingerprint, and fingerprints of a window: every common run of GRAM + WINDOW - 1 words shares one.
@@ -217,7 +217,7 @@ def sequence_rows(df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns[:5], ids, array], names).filter(pa.array(n > 0))
 
     rows = df.filter(F.col("split").isin([TRAIN, *HELD_OUT]) & not_blank("text")).select("kind", "rec_id", "loaded_at", "split", "source", "text")
-    return rows.mapInArrow(run, "kind string, rec_id bigint, loaded_at timestamp, split string, source string, seq_id bigint, seq array<int>")
+    return spread(rows, "rec_id", "loaded_at").mapInArrow(run, "kind string, rec_id bigint, loaded_at timestamp, split string, source string, seq_id bigint, seq array<int>")
 
 
 def cross_split(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

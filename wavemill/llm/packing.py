@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import FILE, TOKENIZER_DIR, encoder
-from .common import cut, first_per_key
+from .common import cut, first_per_key, spread
 
 #: Dimensions of a document's hashed word vector, of its projection, and bits of each projected coordinate.
 BUCKETS, DIMS, BITS = 1024, 4, 8
@@ -83,7 +83,7 @@ def qa_items(qa: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, file: str = FILE
     """
     text = F.concat(F.coalesce("thinking", F.lit("")), F.lit("\n"), F.coalesce("answer", F.lit("")))
     names = ["item_id", "loaded_at", "chars", "tokens", "curve_key"]
-    rows = qa.select(F.col("qa_id").alias("item_id"), "loaded_at", text.alias("text")).mapInArrow(
+    rows = spread(qa.select(F.col("qa_id").alias("item_id"), "loaded_at", text.alias("text")), "item_id", "loaded_at").mapInArrow(
         lambda b: _measure(b, tokenizer_dir, file, names), "item_id bigint, loaded_at timestamp, chars bigint, tokens bigint, curve_key bigint"
     )
     return first_per_key(rows, ["item_id"], ["chars", "tokens", "curve_key"], "loaded_at")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, first_per_key, mix64
+from .common import WORD, cut, first_per_key, mix64, spread
 from .labelmodel import posteriors
 
 RUN = 5
@@ -129,7 +129,7 @@ def repetition(df: DataFrame, key: list[str], text_col: str = "thinking", order:
                 v = vote(m)
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(key) + 1], pa.array(m["words"].astype(np.int64)), pa.array(m["repeated"]), pa.array(m["share"]), *[pa.array(v[r]) for r in RULES]], names)
 
-    rows = df.select(*key, order, text_col).mapInArrow(run, schema)
+    rows = spread(df.select(*key, order, text_col), *key, order).mapInArrow(run, schema)
     one = cut(first_per_key(rows, key, names[len(key) + 1 :], order))
     return posteriors(one, RULES).select(*key, "n_words", "n_repeated", "repeated_share", "posterior")
 

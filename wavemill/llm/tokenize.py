@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import FILE, TOKENIZER_DIR, encoder
+from .common import spread
 
 #: Texts that are encoded together: the words of one slice are proposed and verified in one go.
 SLICE = 512
@@ -30,4 +31,4 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids = bpe.encode_batch(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(id_col, text_col), id_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

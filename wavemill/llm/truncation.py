@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, first_per_key
+from .common import cut, first_per_key, spread
 from .endings import SAMPLE, fit, sample_texts
 
 #: A length is a candidate limit of a source if so many values and this share of the source have exactly this length..
@@ -89,7 +89,7 @@ def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(score, pa.float64())], names)
 
     rows = docs.select(key, source, "loaded_at", F.length(text).cast("bigint").alias("n_chars"), F.octet_length(text).cast("bigint").alias("n_bytes"), text)
-    judged = rows.mapInArrow(run, f"`{key}` {kind}, `{source}` string, loaded_at timestamp, n_chars bigint, n_bytes bigint, evidence double")
+    judged = spread(rows, key, "loaded_at").mapInArrow(run, f"`{key}` {kind}, `{source}` string, loaded_at timestamp, n_chars bigint, n_bytes bigint, evidence double")
     one = cut(first_per_key(judged, [key], [source, "n_chars", "n_bytes", "evidence"], "loaded_at"))
     both = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("length"))))
     lengths = one.filter("evidence is not null").select(F.col(source).alias("source"), both.alias("x")).select("source", "x.*")
