@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import defects, mixing, near, overlap, packing, repetition, splits, tokenize, truncation
 from .common import cut, table
+from .sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,4 +96,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
