@@ -215,6 +215,15 @@ def test_near_duplicates(spark):
     assert near.near_duplicates(texts(spark, TEXTS).limit(0)).count() == 0
 
 
+def test_groups_of_near_duplicates(spark):
+    got = {(r.kind, r.rec_id): (r.class_id, r.links) for r in near.duplicate_groups(texts(spark, TEXTS + TEXTS[:3])).collect()}
+    pairs = brute_pairs(TEXTS)
+    links = Counter(x for k, i, j in pairs for x in ((k, i), (k, j)))
+    assert {x: n for x, (_, n) in got.items()} == {(k, i): links[k, i] for k, i, t, _ in TEXTS if t and words(t)}
+    assert all(got[k, i][0] == got[k, j][0] for k, i, j in pairs) and got["qa", 3][0] == 1 and got["qa", 10][0] == 9 and got["qa", 11][0] == 11
+    assert near.duplicate_groups(texts(spark, TEXTS).limit(0)).count() == 0
+
+
 def test_near_duplicates_among_many_texts_of_few_words(spark):
     """Every word is frequent, so pairs and triples of words carry the search."""
     import random

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, first_per_key, mix64, not_blank, spread
+from .components import components
 
 THRESHOLD = 0.7
 #: Elements up to this share of the bags are indexed alone, up to the second in pairs, the rest in triples.
@@ -260,6 +261,21 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return record_pairs(members, similar_bags(bags, threshold))
 
 
+def duplicate_groups(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(kind, rec_id, class_id, links): every record that has words, the smallest record id of its group, and with how
+    many records it agrees by the threshold. Groups are tied over any number of links; a record without links is alone."""
+    members, bags = members_and_bags(df)
+    pairs = cut(similar_bags(bags, threshold))
+    sizes = members.groupBy("bag_no").agg(F.count("*").alias("size"))
+    both = pairs.unionByName(pairs.select(F.col("high_no").alias("low_no"), F.col("low_no").alias("high_no")))
+    others = both.join(sizes.withColumnRenamed("bag_no", "high_no"), "high_no").groupBy(F.col("low_no").alias("bag_no")).agg(F.sum("size").alias("others"))
+    classes = sizes.join(components(pairs, "low_no", "high_no").withColumnRenamed("node", "bag_no"), "bag_no", "left").join(others, "bag_no", "left")
+    classes = classes.select("bag_no", F.coalesce("root", "bag_no").alias("class_no"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    placed = members.join(classes, "bag_no")
+    first = placed.groupBy("class_no").agg(F.min("rec_id").alias("class_id"))
+    return placed.join(first, "class_no").select("kind", "rec_id", "class_id", "links")
+
+
 def question_and_caption_texts(qa: DataFrame, captions: DataFrame) -> DataFrame:
     a = qa.select(F.lit("qa").alias("kind"), F.col("qa_id").alias("rec_id"), "loaded_at", "split", "source", F.col("question").alias("text"))
     return a.unionByName(captions.select(F.lit("caption").alias("kind"), F.col("caption_id").alias("rec_id"), "loaded_at", "split", "source", F.col("answer").alias("text")))

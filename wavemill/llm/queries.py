@@ -58,6 +58,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_duplicates(_texts(spark, sf)).select("kind", "id_low", "id_high")
 
 
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near.duplicate_groups(_texts(spark, sf))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return splits.straddling(splits.records(table(spark, sf, "generated_qa"), table(spark, sf, "video_links")))
 
@@ -92,7 +96,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_pack, p1_fill, p2_found, p2_labels, p3_found, p3_share, p4_found, p4_report, p5_found, p6_found, p6_splits, p6_shares, p7_ids, p8_mixture, p8_shares, p9_found, p9_rates)}
+    return {f.__name__: f for f in (p1_pack, p1_fill, p2_found, p2_labels, p3_found, p3_share, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_splits, p6_shares, p7_ids, p8_mixture, p8_shares, p9_found, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
