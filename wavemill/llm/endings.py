@@ -84,6 +84,13 @@ def bare(sentence: str) -> str:
     return sentence[:i]
 
 
+# Articles, prepositions and conjunctions of several languages, which seldom end a sentence.
+DANGLING = frozenset(
+    "a an the and or but of to with by from as which while until than because if into nor plus un una el la los las de del y que con en le les des du et au ein eine einen einem der die das den dem und mit im os um uma do da e com em и в на с по".split()
+)
+DANGLING_WEIGHT = 2.0
+
+
 @dataclass
 class EndModel:
     weights: np.ndarray
@@ -123,7 +130,9 @@ class EndModel:
 
     def score(self, sentence: str, whole_start: bool = True) -> float:
         """Log-odds that the sentence, from which final marks are taken, is not complete."""
-        return float(self.weights[self.features(sentence, whole_start)].sum())
+        tokens = TOKEN.findall(sentence)
+        dangling = DANGLING_WEIGHT if len(tokens) > 2 and tokens[-1] in DANGLING else 0.0
+        return float(self.weights[self.features(sentence, whole_start)].sum()) + dangling
 
     def judge(self, text: str) -> float:
         """Log-odds that the text stops before its end; the rules for marks and brackets come first."""
