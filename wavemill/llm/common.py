@@ -41,10 +41,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: later uses neither recompute nor depend on live executors."""
+    """Writes df once to the shared folder and reads it back: later uses neither recompute nor depend on live executors.
+
+    The table goes when the driver ends, as results that are still to be read may depend on it.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.parquet(path)
 
 
