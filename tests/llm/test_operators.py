@@ -151,6 +151,32 @@ def test_defects_of_null_long_and_no_records(spark):
     assert defects.defect_labels(qa(spark, rows).limit(0)).count() == 0
 
 
+def test_words_are_counted_over_all_records(spark):
+    """Also where the sample that weights are fitted on holds none of them."""
+    rows = [dict(qa_id=i, question="Where is the bell of the old tower?", answer=f"Sound {i} comes from the old whistle.", loaded_at=T0) for i in range(30)]
+    rows += [dict(qa_id=100 + i, question="Dónde está la campana de la torre?", answer=f"Después suena {i} un acordeón en la plaza, pero muy lejos.", loaded_at=T0) for i in range(30)]
+    rows += [dict(qa_id=200, question=rows[0]["question"], answer="The sound comes near the old whis", loaded_at=T0)]
+    rows += [dict(qa_id=201, question=rows[0]["question"], answer="Acordeón, plaza, suena.", loaded_at=T0)]
+    rows += [dict(qa_id=202, question="What?", answer="It is loud. " * 2000 + "A zeppelin hums.", loaded_at=T0), dict(qa_id=203, question="What?", answer="It is a zepp", loaded_at=T0)]
+    voted = {r.qa_id: r for r in defects.defect_votes(qa(spark, rows), sample=0).collect()}
+    broken = {i: defects.decode(voted[i].truncated, 4)[2] for i in (0, 200, 203)}
+    assert broken == {0: -1, 200: 1, 203: 1} and defects.decode(voted[201].other_language, 4)[2] == 1
+
+
+def test_known_words_equal_brute_force(spark):
+    import random
+
+    from wavemill.llm import lexicon
+
+    rng = random.Random(4)
+    n = {"".join(rng.choice("abé") for _ in range(rng.randint(1, 7))): rng.choice([1, 2, 3, 19, 20, 500]) for _ in range(900)} | {"a" * 30_000: 1}
+    table = lexicon.known_table(spark.createDataFrame(list(n.items()), "word string, n bigint"))
+    memory = lexicon.Memory(n.items())
+    for w in [*n, "c", "", "ab", "é" * 9, "a" * 29_999]:
+        want = lexicon.bucket(n.get(w, 0)) * 4 + max((lexicon.bucket(k) for x, k in n.items() if w and x != w and x.startswith(w)), default=0)
+        assert table.get(w) == memory.get(w) == want, w
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------------------
 
 

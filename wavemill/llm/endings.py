@@ -8,18 +8,19 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 
+from . import lexicon
+
 SIZE = 1 << 18
 #: Bound of the sample the model is fitted on: so many texts, those with the smallest hashes.
 SAMPLE = 20_000
-#: Bound of the sentences taken from it, and of the words it remembers.
-SENTENCES, VOCABULARY = 120_000, 60_000
+#: Bound of the sentences taken from it, and so many most frequent words stand for themselves in the shape of a sentence.
+SENTENCES, HEADS = 120_000, 120
 
 CJK = "぀-ヿ㐀-䶿一-鿿가-힯"
 TOKEN = re.compile(rf"[{CJK}]|[^\W_{CJK}]+(?:['’-][^\W_{CJK}]+)*|[,;:—–-]")
@@ -76,6 +77,14 @@ def sentences(text: str) -> tuple[list[str], str]:
     return parts[:-1], parts[-1] if parts else ""
 
 
+def whole_words(text: str) -> list[str]:
+    """Tokens of a text, without the last one if no final mark follows it: that may be a piece of a word."""
+    t = strip_end(text)
+    last = [p for p in BREAK.split(t[t.rfind("\n") + 1 :]) if p.strip()]  # a line end always ends a sentence
+    tokens = [x.lower() for x in TOKEN.findall(text)]
+    return tokens if last and finished(last[-1]) else tokens[:-1]
+
+
 def bare(sentence: str) -> str:
     """Without final marks and closers."""
     i = len(sentence)
@@ -94,21 +103,12 @@ DANGLING_WEIGHT = 2.0
 @dataclass
 class EndModel:
     weights: np.ndarray
-    vocabulary: list[str]
-    counts: list[int]
+    words: lexicon.Memory | lexicon.Table
     heads: frozenset[str]
 
     def known(self, word: str) -> tuple[int, int]:
         """Buckets of how often the word was seen, and the most frequent longer word that begins with it."""
-        i, n, longer = bisect_left(self.vocabulary, word), 0, 0
-        if i < len(self.vocabulary) and self.vocabulary[i] == word:
-            n, i = self.counts[i], i + 1
-        for k in range(i, min(i + 40, len(self.vocabulary))):
-            if not self.vocabulary[k].startswith(word):
-                break
-            longer = max(longer, self.counts[k])
-        bucket = lambda x: 0 if x == 0 else 1 if x < 3 else 2 if x < 20 else 3
-        return bucket(n), bucket(longer)
+        return divmod(self.words.get(word), 4)
 
     def features(self, sentence: str, whole_start: bool = True) -> list[int]:
         tokens = [t.lower() for t in TOKEN.findall(sentence)]
@@ -171,8 +171,17 @@ def sample_texts(df, key: str, text: str, most: int = SAMPLE, longest: int = 20_
     return sorted({r[1] for r in short.collect()[:most]})
 
 
-def fit(texts: Iterable[str], seed: int = 5, rounds: int = 6) -> EndModel:
-    """Trains on the given texts, at most SENTENCES sentences of them; see SAMPLE for the callers' bound."""
+def corpus_words(texts) -> tuple[lexicon.Table, frozenset[str]]:
+    """Words of all different texts of a DataFrame, which has one column, whole, and the most frequent of them."""
+    counts = lexicon.count_words(texts, lambda t: [("", whole_words(t))])
+    return lexicon.known_table(counts), frozenset(lexicon.most_frequent(counts, HEADS))
+
+
+def fit(texts: Iterable[str], seed: int = 5, rounds: int = 6, words: tuple[lexicon.Table, frozenset[str]] | None = None) -> EndModel:
+    """Trains on the given texts, at most SENTENCES sentences of them; see SAMPLE for the callers' bound.
+
+    words: table and most frequent words of the whole corpus, if the texts are a sample of it.
+    """
     rng, texts = np.random.default_rng(seed), [t for t in texts if t and t.strip()]
     closed: list[tuple[str, float]] = []
     count: Counter[str] = Counter()
@@ -184,11 +193,10 @@ def fit(texts: Iterable[str], seed: int = 5, rounds: int = 6) -> EndModel:
             closed.append((bare(end), 1.0))
         elif end and not open_at_end(t):
             closed.append((end, 0.7))  # most texts are complete, whatever they end with
-        tokens = [x.lower() for x in TOKEN.findall(t)]
-        count.update(tokens if finished(end) else tokens[:-1])
-    vocabulary = sorted(w for w, _ in count.most_common(VOCABULARY))
-    heads = frozenset(w for w, _ in count.most_common(120))
-    model = EndModel(np.zeros(SIZE, np.float32), vocabulary, [count[w] for w in vocabulary], heads)
+        if words is None:
+            count.update(whole_words(t))
+    table, heads = words or (lexicon.Memory(count.items()), frozenset(w for w, _ in count.most_common(HEADS)))
+    model = EndModel(np.zeros(SIZE, np.float32), table, heads)
     closed = [c for c in closed if len(c[0]) >= 2]
     if len(closed) > SENTENCES:
         closed = [closed[i] for i in rng.choice(len(closed), SENTENCES, replace=False)]

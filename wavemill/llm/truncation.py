@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, first_per_key, spread
-from .endings import SAMPLE, fit, sample_texts
+from .endings import SAMPLE, corpus_words, fit, sample_texts
 
 #: A length is a candidate limit of a source if so many values and this share of the source have exactly this length..
 SPIKE, SPIKE_SHARE = 4, 0.002
@@ -73,12 +73,12 @@ def limits_of(lengths: DataFrame) -> list[tuple[str, str, int, float]]:
 def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", sample: int = SAMPLE, cutoff: float = CUTOFF) -> DataFrame:
     """(key, source, n_chars, at_limit, log_odds, cut): one row per record.
 
-    The ending model is fitted on at most sample texts. Null, empty and blank texts are never cut; a null source is a
+    The weights of the ending model are fitted on at most sample texts; its words are counted over all. Null, empty and blank texts are never cut; a null source is a
     source of its own. at_limit is the censoring posterior if the text's length, in code points or in bytes of UTF-8,
     is a limit of its source, else 0. Of rows with one key the last loaded counts. Texts are judged where they are read.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(sample_texts(docs, key, text, sample)))
+    model = spark.sparkContext.broadcast(fit(sample_texts(docs, key, text, sample), words=corpus_words(docs.select(text))))
     kind = docs.schema[key].dataType.simpleString()
     names = [key, source, "loaded_at", "n_chars", "n_bytes", "evidence"]
 
