@@ -193,3 +193,12 @@ def test_streams(spark, tmp_path):
     E.flush_batches(E.parquet_stream(spark, f"{tmp_path}/in", schema), f"{tmp_path}/flush", f"{tmp_path}/cp2")
     assert spark.read.parquet(f"{tmp_path}/flush").count() == 40
     assert E.tumbling(d, "t", "10 minutes", ["k"], "v").count() == 4 and E.sessions(d, "t", "90 seconds", ["k"]).count() == 20
+
+
+def test_shard_patterns_of_every_supplier(spark, tmp_path):
+    from wavemill.plans.queries import QUERIES
+
+    kept = [(7, 1), (7, 2), (7, 2), (8, 2), (8, 3), (9, 5), (9, 999_999), (9, 1_000_000), (9, 1_000_001), (None, 4)]
+    spark.createDataFrame(kept, "l_suppkey bigint, l_orderkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = rows(QUERIES["q77_shard_patterns_all"](spark, str(tmp_path)))
+    assert sorted(got) == [("p7-{000001..000002}.tar", 2), ("p8-{000002..000003}.tar", 2), ("p9-000005.tar", 1), ("p9-999999.tar", 1), ("p9-{1000000..1000001}.tar", 2)]

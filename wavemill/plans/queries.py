@@ -738,6 +738,7 @@ def q72_file_offsets(spark, sf):
 with n as (select distinct l_orderkey as k from lineitem where l_suppkey = 7), g as (select k, k - row_number() over (order by k) as i, length(lpad(k::varchar, 6, '0')) as w from n)
 select case when min(k) = max(k) then 'p-' || lpad(min(k)::varchar, 6, '0') || '.tar' else 'p-{' || lpad(min(k)::varchar, 6, '0') || '..' || lpad(max(k)::varchar, 6, '0') || '}.tar' end as pattern, count(*) as n from g group by i""")
 def q73_shard_patterns(spark, sf):
+    """Of one supplier; q77_shard_patterns_all has all of them."""
     names = load(spark, sf, "lineitem").filter("l_suppkey = 7").select(F.concat(F.lit("p-"), F.lpad(c("l_orderkey").cast("string"), 6, "0"), F.lit(".tar")).alias("name"))
     return W.shard_patterns(names)
 
@@ -764,3 +765,14 @@ def q76_tar_of_clip(spark, sf):
     m = load(spark, sf, "tar_mp4_mapping").filter("mp4_name is not null").select("tar_file", K.clean_member(c("mp4_name")).alias("clip")).distinct()
     g = load(spark, sf, "generated_caption").filter("file_name is not null").select("caption_id", K.clean_member(c("file_name")).alias("clip"), "file_name").distinct().drop("file_name")
     return g.join(m, "clip").select("caption_id", "clip", "tar_file")
+
+
+@query(r"""
+with n as (select distinct l_suppkey as s, l_orderkey as k, greatest(length(l_orderkey::varchar), 6) as w from lineitem where l_suppkey is not null and l_orderkey is not null),
+g as (select s, w, k, k - row_number() over (partition by s, w order by k) as i from n), r as (select s, w, lpad(min(k)::varchar, w::int, '0') as a, lpad(max(k)::varchar, w::int, '0') as b, count(*) as n from g group by s, w, i)
+select 'p' || s::varchar || '-' || case when a = b then a else '{' || a || '..' || b || '}' end || '.tar' as pattern, n from r""")
+def q77_shard_patterns_all(spark, sf):
+    """All rows: the supplier is part of a name's prefix, and numbers of more than six digits keep all of them."""
+    number = c("l_orderkey").cast("string")
+    names = load(spark, sf, "lineitem").select(F.concat(F.lit("p"), c("l_suppkey").cast("string"), F.lit("-"), F.lpad(number, F.greatest(F.length(number), F.lit(6)), F.lit("0")), F.lit(".tar")).alias("name"))
+    return W.shard_patterns(names)
