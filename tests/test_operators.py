@@ -202,3 +202,21 @@ def test_shard_patterns_of_every_supplier(spark, tmp_path):
     spark.createDataFrame(kept, "l_suppkey bigint, l_orderkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = rows(QUERIES["q77_shard_patterns_all"](spark, str(tmp_path)))
     assert sorted(got) == [("p7-{000001..000002}.tar", 2), ("p8-{000002..000003}.tar", 2), ("p9-000005.tar", 1), ("p9-999999.tar", 1), ("p9-{1000000..1000001}.tar", 2)]
+
+
+def test_normalising_texts_of_any_characters_equals_brute_force(spark, tmp_path):
+    import re
+
+    from wavemill.functions import text as T
+    from wavemill.plans.queries import QUERIES
+
+    texts = ["Uh, it's 5 o'clock", "“Um” — I'm 20, café 7", "é5 5é naïve um", "forum éum umé ER", "don't… 11–12 ah", "é uh", "", "5\n\u00a0um", "日5 um日"]
+    spark.createDataFrame([*[(i, "en", t) for i, t in enumerate(texts)], (90, "fr", "um"), (91, "en", None)], "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def words(t):
+        for k, v in [*T.DIGIT_WORDS.items(), *T.CONTRACTIONS.items()]:
+            t = re.sub(rf"\b{k}\b", v, t)
+        return t
+
+    got = {r.doc_id: (r.words, r.spoken) for r in QUERIES["q78_normalise_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: (words(t.lower()), re.sub(T.FILLERS, "", t.lower())) for i, t in enumerate(texts)}

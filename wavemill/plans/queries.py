@@ -526,6 +526,7 @@ def _fold(expr: str) -> str:
 @query(rf"""
 select doc_id, {_fold('lower(text)')} as words, regexp_replace(lower(text), '\b(uh|umm|um|er|ah)\b', '', 'g') as spoken from documents where text is not null and lang = 'en' and regexp_full_match(text, '[\x00-\x7f]*')""")
 def q48_normalise(spark, sf):
+    """Of texts of ASCII characters only; q78_normalise_all has the others as well."""
     d = spread(load(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id").filter("text is not null and lang = 'en'").filter(c("text").rlike(r"\A[\x00-\x7f]*\z"))
     return d.select("doc_id", T.numbers_to_words(F.lower("text")).alias("words"), T.no_fillers(F.lower("text")).alias("spoken"))
 
@@ -776,3 +777,10 @@ def q77_shard_patterns_all(spark, sf):
     number = c("l_orderkey").cast("string")
     names = load(spark, sf, "lineitem").select(F.concat(F.lit("p"), c("l_suppkey").cast("string"), F.lit("-"), F.lpad(number, F.greatest(F.length(number), F.lit(6)), F.lit("0")), F.lit(".tar")).alias("name"))
     return W.shard_patterns(names)
+
+
+@query()
+def q78_normalise_all(spark, sf):
+    """All English texts. No SQL: DuckDB's word boundary knows ASCII letters only."""
+    d = spread(load(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id").filter("text is not null and lang = 'en'")
+    return d.select("doc_id", T.numbers_to_words(F.lower("text")).alias("words"), T.no_fillers(F.lower("text")).alias("spoken"))
