@@ -220,3 +220,10 @@ def test_normalising_texts_of_any_characters_equals_brute_force(spark, tmp_path)
 
     got = {r.doc_id: (r.words, r.spoken) for r in QUERIES["q78_normalise_all"](spark, str(tmp_path)).collect()}
     assert got == {i: (words(t.lower()), re.sub(T.FILLERS, "", t.lower())) for i, t in enumerate(texts)}
+
+
+def test_counts_of_rare_ngrams(spark, tmp_path):
+    from wavemill.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "a b c d"), (2, "A b  c"), (2, "A b  c"), (3, "a b"), (4, None)], "caption_id bigint, answer string").write.parquet(f"{tmp_path}/generated_caption.parquet")
+    assert sorted(rows(QUERIES["q79_ngram_counts_all"](spark, str(tmp_path)))) == [("a b c", 2), ("b c d", 1)]

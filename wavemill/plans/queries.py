@@ -513,6 +513,7 @@ with t as (select list_filter(regexp_split_to_array(lower(answer), '\s+'), lambd
 g as (select unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as gram from t where len(w) >= 3)
 select gram, count(*) as n from g group by 1 having count(*) >= 5""")
 def q47_ngram_counts(spark, sf):
+    """A report of frequent n-grams only, those seen five times or more; q79_ngram_counts_all counts all."""
     t = load(spark, sf, "generated_caption").filter("answer is not null").select("caption_id", "answer").distinct()
     return t.select(F.explode(S.ngrams(T.tokens(F.lower("answer")), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).filter("n >= 5")
 
@@ -784,3 +785,12 @@ def q78_normalise_all(spark, sf):
     """All English texts. No SQL: DuckDB's word boundary knows ASCII letters only."""
     d = spread(load(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id").filter("text is not null and lang = 'en'")
     return d.select("doc_id", T.numbers_to_words(F.lower("text")).alias("words"), T.no_fillers(F.lower("text")).alias("spoken"))
+
+
+@query(r"""
+with t as (select list_filter(regexp_split_to_array(lower(answer), '\s+'), lambda x: x <> '') as w from (select distinct caption_id, answer from generated_caption where answer is not null)),
+g as (select unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as gram from t where len(w) >= 3)
+select gram, count(*) as n from g group by 1""")
+def q79_ngram_counts_all(spark, sf):
+    t = load(spark, sf, "generated_caption").filter("answer is not null").select("caption_id", "answer").distinct()
+    return t.select(F.explode(S.ngrams(T.tokens(F.lower("answer")), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
