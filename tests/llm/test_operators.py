@@ -281,6 +281,25 @@ def test_cross_split(spark):
     assert overlap.cross_split(texts(spark, TEXTS).limit(0)).count() == 0
 
 
+def test_cross_split_without_common_runs(spark):
+    """Reordered words, edits every few words and short texts share no winnowed fingerprint."""
+    import random
+
+    rng = random.Random(12)
+    rows = [("qa", 9000, "bell rings loud", "train"), ("qa", 9001, "a bell rings loud", "valid")]
+    for i in range(60):
+        w = [f"w{rng.randrange(900)}" for _ in range(rng.randint(12, 40))]
+        rows.append(("qa", 2 * i, " ".join(w), "train"))
+        if i % 2:
+            rng.shuffle(w)
+        else:
+            w[4::7] = ["edited"] * len(w[4::7])
+        rows.append(("qa", 2 * i + 1, " ".join(w), rng.choice(["valid", "test", "train"])))
+    split = {(k, i): s for k, i, _, s in rows}
+    want = {p for p in brute_pairs(rows) if (split[p[0], p[1]] == "train") != (split[p[0], p[2]] == "train")}
+    assert {(r.kind, r.id_low, r.id_high) for r in overlap.as_pairs(overlap.cross_split(texts(spark, rows))).collect()} == want and ("qa", 9000, 9001) in want and len(want) > 25
+
+
 @needs_data
 def test_pairs_of_the_test_data(spark):
     rows = [(r.kind, r.rec_id, r.text, r.split) for r in queries._texts(spark, DATA).select("kind", "rec_id", "text", "split").distinct().collect()]

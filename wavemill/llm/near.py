@@ -10,13 +10,13 @@ prefix is extended until it is worth one more than what may differ. So each pair
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, first_per_key, mix64, not_blank, spread
@@ -202,11 +202,13 @@ def signatures(bags: DataFrame, frequent: list[tuple[int, int]], count: int, thr
     return bags.select("bag_no", "kind", "bag").mapInArrow(run, "sig int, bag_no bigint, meta int, bits_a bigint, bits_b bigint, bits_c bigint")
 
 
-def similar_bags(bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_bags(bags: DataFrame, threshold: float = THRESHOLD, wanted: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(low_no, high_no): all pairs of different bags of one kind whose multiset Jaccard similarity is >= threshold.
 
     bags: (bag_no, kind, bag), read several times. Frequent elements are those in more than ALONE of all bags, so there
     are at most (mean size / ALONE) of them whatever the number of bags; only they are collected and broadcast.
+    wanted tells by their numbers which pairs are looked for, all if it isn't given; it should be one comparison that
+    names both, as a test of one side would be pushed below the exchange.
     """
     t = int(round(threshold * 100))
     counted = bags.agg(F.count("*").alias("n")).first().n
@@ -221,6 +223,8 @@ def similar_bags(bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # The test of a's flag names b as well: as a filter of one side it would be pushed below the exchange, and the
     # signatures would be shuffled twice instead of once for both sides.
     flagged = F.col("a.meta").bitwiseAND(F.lit(1)) + F.col("b.meta").bitwiseAND(F.lit(0)) == 1
+    if wanted is not None:
+        flagged = flagged & wanted(F.col("a.bag_no"), F.col("b.bag_no"))
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & flagged & smaller & (size_a * 100 >= size_b * t) & (differ * (100 + t) <= (size_a + size_b) * (100 - t)))
     pairs = pairs.select(F.least("a.bag_no", "b.bag_no").alias("low_no"), F.greatest("a.bag_no", "b.bag_no").alias("high_no")).distinct()
     low = bags.select(F.col("bag_no").alias("low_no"), F.col("bag").alias("low_bag"))

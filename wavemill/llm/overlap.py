@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, first_per_key, mix64, not_blank, spread
-from .near import THRESHOLD
+from .near import THRESHOLD, similar_bags
 
 #: Words of a fingerprint, and fingerprints of a window: every common run of GRAM + WINDOW - 1 words shares one.
 GRAM, WINDOW = 4, 6
@@ -220,11 +220,41 @@ def sequence_rows(df: DataFrame) -> DataFrame:
     return spread(rows, "rec_id", "loaded_at").mapInArrow(run, "kind string, rec_id bigint, loaded_at timestamp, split string, source string, seq_id bigint, seq array<int>")
 
 
+def _elements(seq: np.ndarray) -> np.ndarray:
+    """Codes of a sequence's words, the n-th time that a word occurs another one."""
+    x = np.sort(seq.view(np.uint32)).astype(np.uint64)
+    at = np.arange(len(x))
+    nth = at - np.maximum.accumulate(np.where(np.r_[True, x[1:] != x[:-1]], at, 0))
+    return np.sort((mix64(x + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
+def exact_candidates(texts: DataFrame, threshold: float) -> DataFrame:
+    """(held_no, train_no) of all pairs across the splits whose bags agree by the threshold, whatever runs they share:
+    those that winnowing doesn't guarantee are among them. texts: (text_no, kind, seq, in_train, held_out)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                lists = b.column(2)
+                bags = [_elements(x) for x in np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1])]
+                array = pa.ListArray.from_arrays(lists.offsets, pa.array(np.concatenate(bags)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), array], ["bag_no", "kind", "bag"])
+
+    # The sides of a text are in its number: 2 for train, 1 for held out.
+    sides = F.col("text_no") * 4 + F.col("in_train").cast("bigint") * 2 + F.col("held_out").cast("bigint")
+    bags = cut(texts.select(sides.alias("bag_no"), "kind", "seq").mapInArrow(run, "bag_no bigint, kind string, bag array<int>"))
+    turned = lambda c: F.shiftright(c.bitwiseAND(F.lit(2)), 1).bitwiseOR(F.shiftleft(c.bitwiseAND(F.lit(1)), 1))
+    found = similar_bags(bags, threshold, lambda a, b: a.bitwiseAND(turned(b)) != 0)
+    both = found.select(F.explode(F.array(F.struct(F.col("low_no").alias("h"), F.col("high_no").alias("t")), F.struct(F.col("high_no").alias("h"), F.col("low_no").alias("t")))).alias("x")).select("x.*")
+    both = both.filter((F.col("h").bitwiseAND(F.lit(1)) == 1) & (F.col("t").bitwiseAND(F.lit(2)) == 2))
+    return both.select(F.shiftright("h", 2).alias("held_no"), F.shiftright("t", 2).alias("train_no"))
+
+
 def cross_split(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(kind, held_id, train_id, held_split, held_source, similarity, coverage): records of valid or test with each record
     of train whose bag of words agrees by the threshold; coverage is the aligned share of the held-out record's words.
 
-    Candidates share a winnowed fingerprint across the splits. Lengths and parity bits, which every pair above the
+    Candidates share a winnowed fingerprint across the splits, or are found by the exact prefixes of near.py. Lengths and parity bits, which every pair above the
     threshold must satisfy, are tested within the join; the rest is chained, aligned and measured exactly. Equal texts
     are one text with several records. Null splits, null and blank texts take no part; no fingerprint is dropped, and a
     frequent one stands for a window only if all others in it are frequent too.
@@ -240,7 +270,8 @@ def cross_split(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     both = F.col("a.size") + F.col("b.size")
     near = (F.least("a.size", "b.size") * 100 >= F.greatest("a.size", "b.size") * t) & (differ * (100 + t) <= both * (100 - t))
     pairs = a.join(b, (F.col("a.fp") == F.col("b.fp")) & (F.col("a.text_no") != F.col("b.text_no")) & near)
-    pairs = pairs.select(F.col("a.text_no").alias("held_no"), F.col("b.text_no").alias("train_no")).distinct()
+    pairs = pairs.select(F.col("a.text_no").alias("held_no"), F.col("b.text_no").alias("train_no"))
+    pairs = pairs.unionByName(exact_candidates(texts, threshold)).distinct()
     full = pairs.join(texts.select(F.col("text_no").alias("held_no"), F.col("seq").alias("held_seq")), "held_no").join(texts.select(F.col("text_no").alias("train_no"), F.col("seq").alias("train_seq")), "train_no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
