@@ -347,6 +347,17 @@ def test_split_shares_with_a_giant(spark):
     assert abs(shares["train"] - 0.8) < 0.01 and abs(shares["valid"] - 0.1) < 0.01
 
 
+def test_rare_and_null_labels_keep_their_share_together(spark):
+    """64 labels of 31 records, whose rounded shares leave the rest away from its own: 30 records of one label each and 30 of none."""
+    rest = F.col("id") >= 31 * splits.LABELS
+    label = F.when(~rest, F.concat(F.lit("s"), (F.col("id") % splits.LABELS).cast("string"))).when(F.col("id") % 2 == 0, F.concat(F.lit("rare"), F.col("id").cast("string")))
+    rows = spark.range(31 * splits.LABELS + 60).select(F.col("id").alias("qa_id"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("recording"), label.alias("source"))
+    target = spark.createDataFrame([("train", 0.8), ("valid", 0.1), ("test", 0.1)], "split string, target_share double")
+    got = splits.grouped_split(rows, target).join(rows.select("qa_id", "source"), "qa_id").filter("source is null or source like 'rare%'")
+    share = {r.split: r["count"] / 60 for r in got.groupBy("split").count().collect()}
+    assert abs(share["train"] - 0.8) <= 0.06, share
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------------
 
 

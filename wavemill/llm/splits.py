@@ -154,7 +154,8 @@ def grouped_split(rows: DataFrame, targets: DataFrame, label: str = "source") ->
     """(qa_id, recording, split): every record, all of one recording in one split.
 
     rows: (qa_id, recording, label). A record without recording is a component alone. targets (split, target_share) is a
-    settings table; its shares are scaled to sum to 1. The LABELS most frequent labels keep their shares as well.
+    settings table; its shares are scaled to sum to 1. The LABELS most frequent labels keep their shares as well, and so do
+    the records of all others and of null labels together.
     """
     shares = [(r.split, float(r.target_share)) for r in targets.orderBy("split").collect() if r.split is not None and (r.target_share or 0) > 0]
     if not shares:
@@ -162,8 +163,9 @@ def grouped_split(rows: DataFrame, targets: DataFrame, label: str = "source") ->
     keyed = rows.select("qa_id", F.col("recording").alias("_given"), F.coalesce("recording", F.concat(F.lit("record:"), F.col("qa_id").cast("string"))).alias("recording"), F.col(label).alias("_label"))
     common = [r[0] for r in keyed.filter("_label is not null").groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(LABELS).collect()]
     marks = [F.count_if(F.col("_label").eqNullSafe(F.lit(x))) for x in common]
-    vectors = keyed.groupBy("recording").agg(F.array(F.count("*"), *marks).alias("vector"))
-    placed = assign(vectors, shares, len(common))
+    rest = F.count_if(F.lit(True) if not common else ~F.coalesce(F.col("_label").isin(common), F.lit(False)))
+    vectors = keyed.groupBy("recording").agg(F.array(F.count("*"), *marks, rest).alias("vector"))
+    placed = assign(vectors, shares, len(common) + 1)
     return keyed.join(placed, "recording").select("qa_id", F.col("_given").alias("recording"), "split")
 
 
