@@ -7,6 +7,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from wavemill.functions import rewards as R
 from wavemill.operators import generate as G
 from wavemill.operators import joins as J
 from wavemill.operators import metrics as M
@@ -227,3 +228,108 @@ def test_counts_of_rare_ngrams(spark, tmp_path):
 
     spark.createDataFrame([(1, "a b c d"), (2, "A b  c"), (2, "A b  c"), (3, "a b"), (4, None)], "caption_id bigint, answer string").write.parquet(f"{tmp_path}/generated_caption.parquet")
     assert sorted(rows(QUERIES["q79_ngram_counts_all"](spark, str(tmp_path)))) == [("a b c", 2), ("b c d", 1)]
+
+
+def test_row_numbers_of_many_rows_with_payload(spark):
+    """The borders of range partitions are drawn from a sample: rows with and without their payload must not be cut twice."""
+    d = spark.range(1_000_000).select(F.xxhash64("id").alias("k"), F.concat(F.lit("text of "), F.col("id").cast("string")).alias("text"))
+    got = J.numbered(d, ["k"]).select("k", "position", "text").agg(F.count_distinct("position").alias("n"), F.min("position").alias("a"), F.max("position").alias("b"), F.count_distinct("text").alias("t")).first()
+    assert tuple(got) == (1_000_000, 0, 999_999, 1_000_000)
+    few = J.numbered(d.filter("k % 997 = 0"), ["k"]).orderBy("position").collect()
+    assert [r.k for r in few] == sorted(r.k for r in few) and [r.position for r in few] == list(range(len(few)))
+    assert J.numbered(d.limit(0), ["k"]).count() == 0
+
+
+def test_running_sums_before_each_row(spark):
+    d = spark.createDataFrame([(i, None if i == 3 else i * 2) for i in range(200)], "k int, n int")
+    got = [r.before for r in J.summed_before(d, ["k"], "n", "before").orderBy("k").collect()]
+    want, total = [], 0
+    for i in range(200):
+        want.append(total)
+        total += 0 if i == 3 else i * 2
+    assert got == want
+
+
+def test_cascade_of_equalities_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    left = [(i, rng.choice("ab"), rng.choice([1, 2, None]), rng.choice([5, 6])) for i in range(60)]
+    right = [(rng.choice("abc"), rng.choice([1, 2, None]), rng.choice([5, 7]), j) for j in range(30)]
+    l = spark.createDataFrame(left, "i int, k string, s int, e int")  # noqa: E741
+    r = spark.createDataFrame(right, "k string, t int, u int, id int")
+    s, e = (F.col("s"), F.col("t")), (F.col("e"), F.col("u"))
+    got = {x.i: (x.rule, x.id) for x in J.cascade(l, r, "k", [[s, e], [s], [e]], "id", ["i"]).collect()}
+    same = lambda a, b: a is not None and a == b
+    want = {}
+    for i, k, a, b in left:
+        best = min(((0 if same(a, t) and same(b, u) else 1 if same(a, t) else 2 if same(b, u) else 3, j) for k2, t, u, j in right if k2 == k), default=None)
+        if best:
+            want[i] = best
+    assert got == want
+
+
+def test_exact_share_clamp_and_least_rows(spark):
+    d = spark.createDataFrame([(i % 40, "a" if i < 3 else None if i < 10 else "b") for i in range(57)], "k int, g string")
+    assert W.split_share_exact(d, "k").filter("split = 'valid'").count() == 12 and W.split_share_exact(d, "k").count() == 57
+    assert W.split_share_exact(d.limit(0), "k").count() == 0
+    x = spark.createDataFrame([(-2.0,), (0.5,), (9.0,), (None,), (float("nan"),)], "x double")
+    assert [str(r[0]) for r in x.select(W.clamp(F.col("x"), 0.0, 1.0)).collect()] == ["0.0", "0.5", "1.0", "None", "nan"]
+    assert sorted({str(r.g) for r in W.with_least_rows(d, "g", 5).collect()}) == ["None", "b"]
+
+
+def test_tar_stream_reads_an_archive_that_sorts_before_those_read(spark, tmp_path):
+    def archive(name, member):
+        d = spark.createDataFrame([(0, member, b"x")], "shard int, name string, content binary")
+        tar.write(d, f"{tmp_path}/one")
+        os.makedirs(f"{tmp_path}/in", exist_ok=True)
+        os.replace(f"{tmp_path}/one/000000.tar", f"{tmp_path}/in/{name}")
+
+    def run():
+        spark.readStream.format("tar").load(f"{tmp_path}/in").select("name").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+
+    tar.register(spark)
+    for name, member in (("b.tar", "x.txt"), ("a.tar", "y.txt"), ("c.tar", "z.txt")):
+        archive(name, member)
+        run()
+    assert sorted(r.name for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["x.txt", "y.txt", "z.txt"]
+
+
+def test_named_members_and_rewriting_of_archives(spark, tmp_path):
+    d = spark.createDataFrame([(i % 3, f"v{i:02d}.txt", str(i).encode()) for i in range(30)], "shard int, name string, content binary")
+    tar.write(d, f"file://{tmp_path}/a")
+    got = tar.read(spark, f"{tmp_path}/a", ["000001.tar"], ["v04.txt", "v28.txt", "v00.txt"]).orderBy("name").collect()
+    assert [(r.name, bytes(r.content), r.position) for r in got] == [("v04.txt", b"4", 1), ("v28.txt", b"28", 9)]
+    wanted = spark.createDataFrame([("000000.tar", "v03.txt"), ("000002.tar", "v29.txt")], "archive string, name string")
+    assert sorted((r.name, bytes(r.content)) for r in tar.members_of(spark, f"{tmp_path}/a", wanted).collect()) == [("v03.txt", b"3"), ("v29.txt", b"29")]
+    tar.rewrite(tar.read(spark, f"{tmp_path}/a", ["000001.tar"]).select(F.lit(1).alias("shard"), F.upper("name").alias("name"), "content"), f"{tmp_path}/a")
+    assert sorted(os.listdir(f"{tmp_path}/a"))[-3:] == ["000000.tar", "000001.tar", "000002.tar"]
+    assert {r.name for r in tar.read(spark, f"{tmp_path}/a", ["000001.tar"]).collect()} == {f"V{i:02d}.TXT" for i in range(1, 30, 3)} and tar.read(spark, f"{tmp_path}/a").count() == 30
+
+
+def test_pairs_with_semantic_elements_and_choices(spark):
+    row = "struct<question:string,thinking:string,semantic_elements:string,answer:string,choices:map<string,string>>"
+    long = "long enough a text"
+    rows = [(long, long, long, long, {"A": "x", "B": "y"}), (long, long, "short", long, {"A": "x", "B": "y"}), (long, long, long, long, {"A": "x"}), (long, long, long, long, {"A": "x", "B": " "}), (long, long, long, long, None)]
+    d = spark.createDataFrame([(r,) for r in rows], f"p {row}")
+    assert [r[0] for r in d.select(P.valid_pair(F.col("p"), semantic=True, choices=["A", "B"])).collect()] == [True, False, False, False, False]
+    m = spark.createDataFrame([("""{'a "b"': 0.5, "Child's voice": 0.75}""",), ("{'x': 1}",), ("no",), (None,)], "t string")
+    assert [r[0] for r in m.select(P.literal_map(F.col("t"))).collect()] == [{'a "b"': 0.5, "Child's voice": 0.75}, {"x": 1.0}, None, None]
+
+
+def test_numbers_and_sums_of_rewards(spark):
+    d = spark.createDataFrame([("<answer>1,000</answer>", "1000.0"), ("<answer>3/4</answer>", "75%"), ("<answer>x</answer>", "y"), ("<answer>abc</answer>", "abc")], "c string, a string")
+    assert [r[0] for r in d.select(R.symbolic_accuracy(F.col("c"), F.col("a"))).collect()] == [1.0, 1.0, 0.0, 0.75 + 0.0]
+    x = spark.createDataFrame([(1.0, 2.0), (float("nan"), 1.0), (None, 1.0)], "a double, b double")
+    assert [str(r[0]) for r in x.select(R.weighted_sum([F.col("a"), F.col("b")], [1.0, 0.5])).collect()] == ["2.0", "nan", "None"]
+
+
+def test_brackets_with_an_n_stay(spark):
+    """The span's class holds the letter n, in the column and in the text form alike."""
+    x = spark.createDataFrame([("a [sigh] b [noise] c",)], "t string")
+    from wavemill.functions import normalize as N
+    from wavemill.functions import text as T
+
+    assert x.select(T.no_bracket_spans(F.col("t"))).first()[0] == "a  b [noise] c"
+    assert N.through("a [sigh] b [noise] c", N.words_only) == "a  b noise c"
+    assert x.select(T.without_phrases(F.lit("the speaker is from the UK."), ["the speaker is from", "the speaker is"])).first()[0] == "the UK."

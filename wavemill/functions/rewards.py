@@ -30,6 +30,21 @@ def partial_accuracy(predicted: Column, answer: Column) -> Column:
     return F.least(F.lit(1.0), score)
 
 
+def number_value(x: Column) -> Column:
+    """The value of a text that is one number, in any of the forms 1,000 -2.50 50% 3/4 $5; null for any other text."""
+    t = F.regexp_replace(strip(x), r"[\s,$]", "")
+    part = lambda i: F.regexp_extract(t, r"\A(-?\d*\.?\d+)/(-?\d*\.?\d+)\z", i).try_cast("double")
+    share = F.regexp_extract(t, r"\A(-?\d*\.?\d+)%\z", 1).try_cast("double") / 100
+    return F.coalesce(F.when(t.rlike(r"\A[-+]?\d*\.?\d+\z"), t.try_cast("double")), share, part(1) / F.nullif(part(2), F.lit(0.0)))
+
+
+def symbolic_accuracy(completion: Column, answer: Column, tolerance: float = 1e-9) -> Column:
+    """1 if the answers are the same number, however written, or else partial_accuracy of their texts."""
+    said = tag(completion, "answer")
+    a, b = number_value(said), number_value(answer)
+    return F.when(F.abs(a - b) <= F.lit(tolerance) * F.greatest(F.abs(b), F.lit(1.0)), 1.0).otherwise(partial_accuracy(said, answer))
+
+
 def exact_accuracy(completion: Column, answer: Column) -> Column:
     return F.when(tag(completion, "answer") == answer, 1.0).otherwise(0.0)
 
@@ -64,12 +79,18 @@ def tag_count_reward(x: Column, semantic: bool = False) -> Column:
 REGISTRY = {
     "accuracy": lambda c, a: partial_accuracy(tag(c, "answer"), a),
     "exact": exact_accuracy,
+    "symbolic": symbolic_accuracy,
     "length": lambda c, a: length_reward(tag(c, "think", F.lit(""))),
     "format": lambda c, a: format_reward(c),
     "tags": lambda c, a: tag_count_reward(c),
 }
 
 
+def weighted_sum(rewards: list[Column], weights: list[float]) -> Column:
+    """Sum of weighted rewards in which a NaN makes the sum NaN and a null makes it null."""
+    return sum((r.cast("double") * w for r, w in zip(rewards, weights)), F.lit(0.0))
+
+
 def weighted_total(rewards: list[Column], weights: list[float]) -> Column:
     """Sum of weighted rewards where NaN and null count as 0."""
     return sum((F.coalesce(F.nanvl(r, F.lit(None).cast("double")) * w, F.lit(0.0)) for r, w in zip(rewards, weights)), F.lit(0.0))

@@ -21,6 +21,9 @@ CONTRACTIONS = {
 }
 FILLERS = r"\b(uh|umm|um|er|ah)\b"
 CJK = r"[\u4e00-\u9fff]"
+# The class holds the letter n, so that spans with an n in them stay: the results to match have it so.
+BRACKET_SPAN = r"(\[|\(|\{|<)[^()\\n\[\]]*(\]|\)|\}|>)"
+CJK_SPACES = [rf"({CJK})(?={CJK})", rf"({CJK})(?=[a-zA-Z])", rf"([a-zA-Z])(?={CJK})"]
 
 
 def strip(x: Column) -> Column:
@@ -144,7 +147,7 @@ def tag(x: Column, name: str, otherwise: Column | None = None) -> Column:
 
 
 def after_last(x: Column, mark: str) -> Column:
-    return F.element_at(F.split(x, mark), -1)
+    return F.substring_index(x, mark, -1)
 
 
 def answer_of_turn(x: Column, turn: str = "assistant\n", name: str = "answer") -> Column:
@@ -197,9 +200,11 @@ def quoted_reply(x: Column) -> Column:
     return strip(F.when(quoted != "", quoted).when(colon != "", colon).otherwise(x))
 
 
-def cascade_answer(x: Column, mark: str = "Answer: ") -> Column:
-    """What follows the mark, else the reply itself."""
-    return F.when(x.contains(mark), F.element_at(F.split(x, mark), 2)).otherwise(x)
+def cascade_answer(x: Column, mark: str = "Answer: ", instruction: Column | None = None) -> Column:
+    """What follows the mark, up to the next one, else the reply itself. A spoken instruction, where one is given, is
+    answered as it is: its reply isn't cut."""
+    cut = F.when(x.contains(mark), F.substring_index(F.substring(x, F.instr(x, mark) + len(mark), F.length(x)), mark, 1)).otherwise(x)
+    return cut if instruction is None else F.when(instruction, x).otherwise(cut)
 
 
 def numbers_to_words(x: Column) -> Column:
@@ -216,14 +221,21 @@ def no_fillers(x: Column) -> Column:
 
 
 def no_bracket_spans(x: Column) -> Column:
-    return F.regexp_replace(x, r"(\[|\(|\{|<)[^()\\n\[\]]*(\]|\)|\}|>)", "")
+    return F.regexp_replace(x, BRACKET_SPAN, "")
+
+
+def without_phrases(x: Column, phrases: list[str]) -> Column:
+    """Every phrase deleted as plain text, longer ones first, and the rest stripped: for labels that a reply spells out."""
+    for p in sorted(phrases, key=lambda p: (-len(p), p)):
+        x = F.replace(x, F.lit(p), F.lit(""))
+    return strip(x)
 
 
 def space_cjk(x: Column) -> Column:
     """A space between neighbouring ideographs, and between these and other words."""
-    x = F.regexp_replace(x, rf"({CJK})(?={CJK})", "$1 ")
-    x = F.regexp_replace(x, rf"({CJK})(?=[a-zA-Z])", "$1 ")
-    return F.regexp_replace(x, rf"([a-zA-Z])(?={CJK})", "$1 ")
+    for pattern in CJK_SPACES:
+        x = F.regexp_replace(x, pattern, "$1 ")
+    return x
 
 
 def letters_only(x: Column) -> Column:

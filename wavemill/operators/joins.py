@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def not_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are not among the finished ones; null keys are never finished. A null-safe resume."""
@@ -27,13 +29,37 @@ def positional(left: DataFrame, left_order: list, right: DataFrame, index: str)
     return numbered(left, left_order, index).join(right, index)
 
 
-def numbered(df: DataFrame, order: list, name: str = "position") -> DataFrame:
-    """Adds a row number from 0 by a total order without a single-task sort: range partitions, counted and shifted."""
+def _ranged(df: DataFrame, order: list) -> DataFrame:
+    """df in a total order over range partitions, written once, with _part and _row, which rises within a partition.
+
+    Numbers need two passes over one and the same partitioning: borders are drawn from a sample, so a second exchange,
+    of other columns, would put them elsewhere.
+    """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    keyed = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    counts = keyed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    shift = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    return keyed.join(F.broadcast(shift), "_part").withColumn(name, F.col("_row") - F.col("_first") + F.col("_shift")).drop("_part", "_row", "_first", "_shift")
+    return cut(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _before(parts: DataFrame, size: Column) -> DataFrame:
+    """(_part, _first, _shift): what size adds up to over the partitions before each; a row per partition."""
+    per = parts.groupBy("_part").agg(size.alias("_n"), F.min("_row").alias("_first"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select("_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+
+
+def numbered(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """Adds a row number from 0 by a total order without a single-task sort: range partitions, written, counted, shifted."""
+    rows = _ranged(df, order)
+    shift = F.broadcast(_before(rows, F.count("*")))
+    return rows.join(shift, "_part").withColumn(name, F.col("_row") - F.col("_first") + F.col("_shift")).drop("_part", "_row", "_first", "_shift")
+
+
+def summed_before(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """Adds the sum of value over all rows before, by a total order; nulls count as 0. As numbered, without one task for all."""
+    rows = _ranged(df, order)
+    shift = F.broadcast(_before(rows, F.sum(value)).drop("_first"))
+    here = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_here", F.coalesce(F.sum(value).over(here), F.lit(0)))
+    return local.join(shift, "_part").withColumn(name, F.col("_here") + F.col("_shift")).drop("_part", "_row", "_here", "_shift")
 
 
 def band_first(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, width: float, order: list[str], left_id: list[str]) -> DataFrame:
@@ -50,15 +76,29 @@ def band_first(left: DataFrame, right: DataFrame, key: str, left_at: str, right_
     return near.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_rank", "_cell")
 
 
-def cascade(left: DataFrame, right: DataFrame, key: str, rules: list[Column], position: str, left_id: list[str]) -> DataFrame:
+def cascade(left: DataFrame, right: DataFrame, key: str, rules: list, position: str, left_id: list[str]) -> DataFrame:
     """For each left row one right row of equal key: one that meets the first rule, else the second, .., else any; ties
-    by position. One join and a max-by aggregation instead of a filter per rule; columns of right must be distinct."""
-    both = left.join(right, key)
-    rank = F.lit(len(rules))
-    for i in range(len(rules) - 1, -1, -1):
-        rank = F.when(rules[i], i).otherwise(rank)
-    best = Window.partitionBy(*left_id).orderBy("_rule", position)
-    return both.withColumn("_rule", rank).withColumn("_n", F.row_number().over(best)).filter("_n = 1").withColumnRenamed("_rule", "rule").drop("_n")
+    by position. Adds rule, from 0; left_id must be unique in left, column names distinct, null is never equal.
+
+    A rule is a list of equalities (expression over left, expression over right): an equi-join with the first right row,
+    by position, of every combination of key and values, so the work is linear however many rows share a key. A rule that
+    is a condition over both sides compares all rows of a key; it is for keys of few rows.
+    """
+    names = [f.name for f in right.schema if f.name != key]
+    ids = list(dict.fromkeys([key, *left_id]))
+    found = None
+    for i, rule in enumerate([*rules, []]):
+        if isinstance(rule, list):
+            on = [key, *[f"_k{j}" for j in range(len(rule))]]
+            keyed = right.select(key, F.struct(*names).alias("_row"), F.col(position).alias("_at"), *[r.alias(k) for k, (_, r) in zip(on[1:], rule)]).na.drop(subset=on)
+            first = keyed.groupBy(*on).agg(F.min_by("_row", "_at").alias("_hit"))
+            hits = left.select(*ids, *[l.alias(k) for k, (l, _) in zip(on[1:], rule)]).join(first, on)
+        else:
+            hits = left.join(right, key).filter(rule).groupBy(*ids).agg(F.min_by(F.struct(*names), position).alias("_hit"))
+        hits = hits.select(*left_id, F.struct(F.lit(i).alias("rule"), "_hit").alias("_b"))
+        found = hits if found is None else found.unionByName(hits)
+    best = found.groupBy(*left_id).agg(F.min_by("_b", "_b.rule").alias("_b"))
+    return left.join(best, left_id).select(*left.columns, *[F.col("_b._hit")[n].alias(n) for n in names], F.col("_b.rule").alias("rule"))
 
 
 def total_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

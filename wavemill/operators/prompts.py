@@ -25,6 +25,27 @@ def fields(pairs: list[tuple[str, Column]], head: str = "", tail: str = "") -> C
     return F.concat_ws("\n", *([F.lit(head)] if head else []), *[field(n, v) for n, v in pairs], *([F.lit(tail)] if tail else []))
 
 
+def caption_fields(row: dict[str, Column]) -> list[tuple[str, Column]]:
+    """The fields of the full caption prompt in order, of the columns given: tags and labels as score-filtered JSON, the
+    music caption only where the subtitle speaks of music."""
+    out = []
+    for label, name in CAPTION_TEMPLATE:
+        if name in row:
+            x = row[name]
+            if name == "audio_tags":
+                x = map_json(x)
+            elif name in ("objects", "places"):
+                x = F.when(F.exists(x, lambda s: s.score > 0.5), scored_json(x))
+            elif name == "descriptions":
+                x = F.array_join(x, " ")
+            elif name == "sat_predictions":
+                x = F.when(F.size(x) > 0, F.to_json(x))
+            elif name == "music_caption" and "text" in row:
+                x = music_line(row["text"], x)
+            out.append((label, x.cast("string")))
+    return out
+
+
 def music_line(text: Column, music: Column) -> Column:
     """The music caption only where the subtitle speaks of music."""
     return F.when(F.lower(text).contains("music"), music)
@@ -42,8 +63,9 @@ def map_json(scores: Column, least: float = 0.5) -> Column:
 
 
 def literal_map(text: Column) -> Column:
-    """A map of label to score from text in single-quoted literal form, without evaluating it."""
-    return F.from_json(F.translate(text, "'", '"'), "map<string,double>")
+    """A map of label to score from text in literal form, without evaluating it. Labels stand in single quotes, or in double
+    quotes where they hold an apostrophe; null for any other text."""
+    return F.from_json(text, "map<string,double>", {"allowSingleQuotes": "true"})
 
 
 def judge_prompt(generated: Column, rubric: str = "Reply with JSON holding the key valid.") -> Column:
@@ -109,10 +131,17 @@ def valid_caption(answer: Column, thinking: Column, semantic: Column | None = No
     return F.coalesce(ok, F.lit(False))
 
 
-def valid_pair(p: Column, least_question: int = 10, least_thinking: int = 10, least_answer: int = 3) -> Column:
-    """A question-answer pair with all parts, long enough and without the phrases."""
+def valid_pair(p: Column, least_question: int = 10, least_thinking: int = 10, least_answer: int = 3, semantic: bool = False, choices: list[str] | None = None) -> Column:
+    """A question-answer pair with all parts, long enough and without the phrases. semantic asks the same of its
+    semantic elements; choices names the letters of which each must have a non-empty choice, and no other may."""
     ok = (F.length(p.question) >= least_question) & (F.length(p.thinking) >= least_thinking) & (F.length(p.answer) >= least_answer)
-    return F.coalesce(ok & ~contains_any(p.thinking, OMITTED) & ~contains_any(p.answer, OMITTED), F.lit(False))
+    ok = ok & ~contains_any(p.thinking, OMITTED) & ~contains_any(p.answer, OMITTED)
+    if semantic:
+        ok = ok & (F.length(p.semantic_elements) >= least_thinking) & ~contains_any(p.semantic_elements, OMITTED)
+    if choices is not None:
+        named = F.array_sort(F.map_keys(p.choices)) == F.array(*[F.lit(x) for x in sorted(choices)])
+        ok = ok & named & F.forall(F.map_values(p.choices), lambda v: F.coalesce(strip(v) != "", F.lit(False)))
+    return F.coalesce(ok, F.lit(False))
 
 
 def masked_labels(ids: Column, pattern: list[int], ignore: int = -100) -> Column:

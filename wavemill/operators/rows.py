@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import numbered
+from .joins import numbered, summed_before
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -49,11 +49,31 @@ def split_exact(df: DataFrame, key: str, valid: int = 100, seed: int = 1337) ->
 
 
 def split_share(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """Adds split by hash: 'train' for about share of the keys; needs no shuffle."""
+    """Adds split: by hash, 'train' for about share of the keys; needs no shuffle. split_share_exact gives the exact number."""
     u = F.conv(F.substring(hashed(key, seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return df.withColumn("split", F.when(u < share, "train").otherwise("valid"))
 
 
+def split_share_exact(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """Adds split: exactly ceil((1 - share) * rows) rows, the first by hash, are 'valid', the rest 'train'. Rows are
+    numbered over range partitions, so neither part goes through one task; equal keys are told apart by their number."""
+    placed = numbered(df.withColumn("_h", hashed(key, seed)), ["_h", key], "_at")
+    size = placed.agg(F.ceil(F.round(F.count("*") * (1 - share), 6)).alias("_valid"))
+    return placed.crossJoin(F.broadcast(size)).withColumn("split", F.when(F.col("_at") < F.col("_valid"), "valid").otherwise("train")).drop("_h", "_at", "_valid")
+
+
+def clamp(value: Column, least: float | None = None, most: float | None = None) -> Column:
+    """value within bounds; null and NaN stay as they are."""
+    low = value if least is None else F.when(value < least, F.lit(least)).otherwise(value)
+    return low if most is None else F.when((low > most) & ~F.isnan(low.cast("double")), F.lit(most)).otherwise(low)
+
+
+def with_least_rows(df: DataFrame, group: str, least: int) -> DataFrame:
+    """Rows of the groups that have at least so many rows; a null group counts as one group."""
+    big = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    return df.join(big, F.col(group).eqNullSafe(F.col("_g")), "left_semi")
+
+
 def choose(options: list[str], key: Column) -> Column:
     """One option a row, by md5 of the key."""
     at = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % len(options)
@@ -96,9 +116,8 @@ def renumbered(df: DataFrame, order: list[str], width: int = 6, ext: str = ".tar
 
 
 def file_offsets(files: DataFrame, order: str, size: str) -> DataFrame:
-    """Adds offset: the rows before each file. A settings-sized table: one row per file."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    """Adds offset: the rows before each file, by running sums over range partitions."""
+    return summed_before(files, [order], size, "offset")
 
 
 def repeat_sampler(df: DataFrame, order: list[str], batch: int, mini: int, repeats: int) -> DataFrame:

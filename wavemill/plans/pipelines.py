@@ -169,13 +169,10 @@ def evaluate(samples: DataFrame, benchmark: str, metric: str, root: str, model:
     base = f"{root.rstrip('/')}/{benchmark}-{model}"
 
     def kept(path: str, make: Callable[[], DataFrame]) -> DataFrame:
-        try:
-            if overwrite:
-                raise FileNotFoundError
-            return spark.read.parquet(path)
-        except Exception:  # not there yet
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if overwrite or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
             make().write.mode("overwrite").parquet(path)
-            return spark.read.parquet(path)
+        return spark.read.parquet(path)
 
     predictions = kept(f"{base}/predictions", lambda: G.infer(samples, "prompt", model, out="model_prediction"))
     return kept(f"{base}/{metric}", lambda: score(predictions, metric, b.preparation, judge))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +20,7 @@ from ..operators import metrics as M
 from ..operators import outliers as O
 from ..operators import prompts as P
 from ..operators import rows as W
-from ..session import spread
+from ..session import scratch, spread
 from ..sources import sinks, tar
 from ..streaming import events as E
 
@@ -47,14 +44,8 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: in spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "wavemill-scratch")
-    return f"{base.rstrip('/')}/q-{uuid.uuid4().hex}"
-
-
 def local(path: str) -> str:
-    return path[7:] if path.startswith("file://") else path
+    return path[7:] if path.startswith("file://") else path[5:] if path.startswith("file:") else path
 
 
 # --- captions: rules, keys, joins ---------------------------------------------------------------------------------
@@ -196,8 +187,8 @@ select file_name, video_id, rule::bigint as rule, start, duration, text from (
 def q14_fallback_match(spark, sf):
     a = load(spark, sf, "audio_out").filter("file_name is not null").groupBy("file_name").agg(F.first("video_id").alias("video_id"), F.min("start_time").alias("s"), F.min("end_time").alias("e"))
     r = load(spark, sf, "sdh_captions").na.drop(subset=["start", "duration", "text"]).select("video_id", "start", "duration", "text").distinct().withColumn("place", F.struct("start", "duration", "text"))
-    end = c("start") + c("duration")
-    rules = [(c("start") == c("s")) & (end == c("e")), c("start") == c("s"), end == c("e")]
+    start, end = (c("s"), c("start")), (c("e"), c("start") + c("duration"))
+    rules = [[start, end], [start], [end]]
     return J.cascade(a, r, "video_id", rules, "place", ["file_name"]).select("file_name", "video_id", c("rule").cast("bigint").alias("rule"), "start", "duration", "text")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
 
@@ -20,15 +21,16 @@ def concatenated_json(spark: SparkSession, path: str) -> DataFrame:
 
     Objects can't be told apart by line, so a file is read by one task, as a stream: only the object in progress is held.
     """
+    from .tar import system
+
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from urllib.parse import unquote, urlparse
-
         for b in batches:
             for p in b.column(0).to_pylist():
                 held, n, rows = "", 0, []
-                with open(unquote(urlparse(p).path), encoding="utf-8") as f:
+                place, at = system(p)
+                with io.TextIOWrapper(place.open_input_stream(at), encoding="utf-8") as f:
                     for line in f:
                         held += line
                         if "}" not in line:
@@ -59,9 +61,10 @@ def sdh_captions(objects: DataFrame, column: str = "object", lang: str = "en") -
     return rows.filter(F.col("s.t").isNotNull()).select("video_id", F.col("s.`-start`").try_cast("double").alias("start"), F.col("s.`-dur`").try_cast("double").alias("duration"), F.col("s.t").alias("text"))
 
 
-def csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
-    """Quotes double inside quoted fields; short or long lines are kept, missing fields null."""
-    return spark.read.schema(schema).option("header", header).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+def csv(spark: SparkSession, path: str, schema: str, header: bool = True, lines: bool = False) -> DataFrame:
+    """Quotes double inside quoted fields; short or long lines are kept, missing fields null. lines: a quoted field may hold
+    line ends, for which a file can't be split over tasks."""
+    return spark.read.schema(schema).option("header", header).option("quote", '"').option("escape", '"').option("multiLine", lines).option("mode", "PERMISSIVE").csv(path)
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, drop_bad: bool = True) -> DataFrame:
