@@ -28,9 +28,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Inputs of more files are left alone; their files are counted in the JVM, no path comes to Python.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df._jdf.inputFiles()) >= cores:
+    files = len(df._jdf.inputFiles())
+    if files >= cores:
         return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if files else 0
     return df.repartition(max(cores, -(-size // TASK_BYTES)), *keys)
 
 
