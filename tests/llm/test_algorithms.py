@@ -126,7 +126,7 @@ def test_bags_number_repeated_words():
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 40), st.sampled_from([0.5, 0.7, 0.8, 0.9]))
 def test_every_similar_pair_shares_a_signature_in_the_right_roles(seed, size, threshold):
-    """Also where words are so frequent that only triples are indexed, and for texts of a word or two."""
+    """Also where words are so frequent that only combinations of four are indexed, and for texts of a word or two."""
     rng = np.random.default_rng(seed)
     vocabulary = np.sort(rng.choice(2**31, 60, replace=False).astype(np.int64))
     base = rng.choice(vocabulary, min(size, 50), replace=False)
@@ -139,11 +139,10 @@ def test_every_similar_pair_shares_a_signature_in_the_right_roles(seed, size, th
             else:
                 s.add(int(rng.choice(vocabulary)))
         sets.append(np.sort(np.array(sorted(s), np.int64)))
-    kinds = rng.integers(1, 4, 60)  # alone, pairs, triples
-    known = kinds > 1
-    codes = vocabulary[known]
-    order = np.argsort(codes)
-    signer = near.Signer(codes[order], order.astype(np.int64), kinds[known][order], threshold)
+    levels = np.zeros(near.COUNTERS, np.uint16)
+    levels[near.slots(vocabulary)] = rng.integers(0, near.MOST, 60)  # how many are combined, less one
+    signer = near.Signer(levels, 1, threshold)
+    signer.by_level = np.arange(1, near.MOST + 1)
     sig, own, flag, n = signer.sign(sets, np.zeros(len(sets), np.uint64))
     bits = near.Signer.bitmaps(sets, n)
     every = {i: set(sig[own == i].tolist()) for i in range(len(sets))}
@@ -158,6 +157,28 @@ def test_every_similar_pair_shares_a_signature_in_the_right_roles(seed, size, th
         assert d <= n[i] + n[j] - 2 * common
 
 
+def test_more_frequent_elements_are_combined_in_larger_numbers():
+    k = near.combined(np.arange(200), 1000)
+    share = np.exp2(np.arange(200) / 8) / 1000
+    assert k.tolist() == [1 + sum(x > s for s in near.SHARES) if 1000 * x > near.FEW else 1 for x in share]
+
+
+def test_long_records_share_signatures_with_shorter_ones_and_have_few():
+    rng = np.random.default_rng(2)
+    vocabulary = rng.choice(2**31, 9000, replace=False).astype(np.int64)
+    levels = np.zeros(near.COUNTERS, np.uint16)
+    levels[near.slots(vocabulary)] = rng.integers(0, near.MOST, 9000)
+    signer = near.Signer(levels, 1, 0.7)
+    signer.by_level = np.arange(1, near.MOST + 1)
+    for size in (280, 299, 420, 1190, 1700, 4700, 6800):
+        a = np.sort(rng.choice(vocabulary, size, replace=False))
+        b = a[rng.random(size) < 0.72]
+        if len(b) * 10 < size * 7:
+            continue
+        sig, own, flag, n = signer.sign([a, b], np.zeros(2, np.uint64))
+        assert set(sig[(own == 1) & flag].tolist()) & set(sig[own == 0].tolist()) and len(sig) < 40 * size
+
+
 def test_common_runs_share_a_winnowed_fingerprint():
     rng = np.random.default_rng(5)
     for _ in range(50):

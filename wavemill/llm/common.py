@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, spread  # noqa: F401
+
 #: A word is a maximal run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
 M64 = (1 << 64) - 1
@@ -32,40 +31,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, else one of our own (tests, one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "wavemill-checkpoint"))
-    return folder or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: later uses neither recompute nor depend on live executors.
-
-    The table goes when the driver ends, as results that are still to be read may depend on it.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df over all cores before heavy work on each row, where it comes from fewer files than there are cores.
-
-    A file that was written in one piece is read by one task. Larger inputs have more files and are left alone.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= want else df.repartition(want, *keys)
-
-
 def not_blank(column):
     """True for a text with anything besides white space; null counts as blank."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).rlike(r"(?U)\S")

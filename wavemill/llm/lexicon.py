@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ensure_checkpoint_dir
+from ..session import cut, scratch
 
 #: Counts that a task holds before it passes them on, and words that a worker remembers.
 HELD, CACHED = 200_000, 1 << 16
@@ -104,13 +104,10 @@ class Table:
 def save(values: DataFrame) -> Table:
     """Writes (h, v), one row a key, v from 1 to 255, to the shared folder. The files go when the driver ends."""
     spark = values.sparkSession
-    place = urlparse(ensure_checkpoint_dir(spark).rstrip("/"))
+    place = urlparse(scratch(spark, "words"))
     if place.scheme not in ("", "file"):
         raise ValueError(f"the checkpoint folder must be a mounted one: {place.geturl()}")
-    folder, parts = f"{place.path}/words-{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    os.makedirs(folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"file://{folder}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    folder, parts = place.path, int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(t: pa.Table) -> pa.Table:
         h = t.column("h").to_numpy()

@@ -3,14 +3,17 @@
 A text is the bag of its words; the n-th occurrence of a word is an element of its own, so bags become sets. Elements
 have one global order, rare ones first. Two records that agree by the threshold can differ in only so many elements;
 every record therefore indexes a prefix of its ordered elements. Rare elements are indexed alone, frequent ones only in
-pairs or triples taken within fixed groups of elements, as a single frequent word tells too little. A group of c
-elements in a prefix is worth c - k + 1, since that many must be lost before none of its k-combinations is left; the
+combinations of two to four taken within fixed groups of elements, as a single frequent word tells too little. A group of
+c elements in a prefix is worth c - k + 1, since that many must be lost before none of its k-combinations is left; the
 prefix is extended until it is worth one more than what may differ. So each pair above the threshold shares a combination.
+
+How many are combined follows from the share of the bags that hold an element, so a bag has about as many signatures in a
+collection of any size, while the bags that share one grow with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,12 +26,20 @@ from .common import WORD, cut, first_per_key, mix64, not_blank, spread
 from .components import components
 
 THRESHOLD = 0.7
-#: Elements up to this share of the bags are indexed alone, up to the second in pairs, the rest in triples.
-ALONE, PAIRS = 5e-4, 0.01
-#: Groups of elements whose members are combined, by size of combination.
-GROUPS = {1: 1, 2: 2, 3: 16}
-#: Largest size of a combination and groups of it, for records whose whole text isn't worth enough before.
-LEVELS = [(3, 16), (2, 8), (1, 1)]
+#: Elements up to the first share of the bags are indexed alone, up to the second in pairs, up to the third in triples, the
+#: rest in combinations of four.
+SHARES = (2e-3, 0.05, 0.3)
+MOST = len(SHARES) + 1
+#: Counters of elements: a table of fixed size, whatever the vocabulary. Elements that share one count as equally frequent.
+COUNTERS = 1 << 20
+#: Elements of so few bags are indexed alone whatever their share.
+FEW = 8
+#: Groups of elements whose members are combined, by number combined: the next row is for records whose whole text isn't
+#: worth enough by the row before. Those not worth enough by the last have few elements and index whole subsets.
+GROUPS = [{1: 1, 2: 4, 3: 12, 4: 5}, {1: 1, 2: 2, 3: 3, 4: 4}, {1: 1, 2: 1, 3: 1, 4: 1}]
+#: Longer records have more groups, so that these stay small: from so many elements on, and then at each fourfold size,
+#: there is a row of four times as many before.
+LONG = 300
 SLICE = 2048
 
 
@@ -64,7 +75,7 @@ class Bags:
 
 def bag_rows(df: DataFrame) -> DataFrame:
     """(kind, rec_id, loaded_at, split, bag_id, bag) of rows (kind, rec_id, loaded_at, split, text); blank texts and
-    texts without words take no part. bag_id is a hash of the bag, equal for texts with equal bags."""
+    texts without words take no part. bag_id is a hash of the bag of 128 bits, equal for texts with equal bags."""
     names = ["kind", "rec_id", "loaded_at", "split", "bag_id", "bag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,22 +84,58 @@ def bag_rows(df: DataFrame) -> DataFrame:
             for at in range(0, big.num_rows, SLICE):
                 b = big.slice(at, SLICE)
                 sets = bags.of(b.column(4).to_pylist())
-                ids = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+                ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 lengths = np.array([len(s) for s in sets])
                 offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
                 array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
                 keep = pa.array(lengths > 0)
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ids, pa.int64()), array], names).filter(keep)
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(ids, pa.binary()), array], names).filter(keep)
 
     rows = df.filter(not_blank("text")).select("kind", "rec_id", "loaded_at", "split", "text")
-    return spread(rows, "rec_id", "loaded_at").mapInArrow(run, "kind string, rec_id bigint, loaded_at timestamp, split string, bag_id bigint, bag array<int>")
+    return spread(rows, "rec_id", "loaded_at").mapInArrow(run, "kind string, rec_id bigint, loaded_at timestamp, split string, bag_id binary, bag array<int>")
+
+
+def slots(codes: np.ndarray) -> np.ndarray:
+    """The counter of each element code of 32 bits."""
+    return codes.astype(np.int64) & (COUNTERS - 1)
+
+
+def frequencies(bags: DataFrame) -> np.ndarray:
+    """By counter: eight times the binary logarithm of the number of bags, 0 for those of one bag or none.
+
+    At most COUNTERS rows of five bytes come to the driver, and as many bytes are broadcast, however many bags there are.
+    """
+    per = bags.select(F.explode("bag").alias("code")).groupBy(F.col("code").bitwiseAND(F.lit(COUNTERS - 1)).alias("slot")).count()
+    rows = per.filter("count > 1").select("slot", F.round(F.log2("count") * 8).cast("smallint").alias("level")).toArrow()
+    out = np.zeros(COUNTERS, np.uint16)
+    out[rows.column("slot").to_numpy()] = rows.column("level").to_numpy()
+    return out
+
+
+def combined(levels: np.ndarray, count: int) -> np.ndarray:
+    """How many elements of each level are combined, among so many bags."""
+    bags = np.exp2(levels / 8.0)
+    return np.where(bags <= FEW, 1, 1 + np.searchsorted(np.array(SHARES), bags / max(count, 1), side="left"))
+
+
+def rows_of(longest: int, threshold: int) -> Iterator[tuple[int, int, dict[int, int]]]:
+    """Rows of groups, the finest first: the size from which records use it, the size from which they may stop at it, as
+    all their partners use it, and the groups."""
+    sizes = []
+    while LONG * 4 ** len(sizes) <= longest:
+        sizes.append(LONG * 4 ** len(sizes))
+    for i, least in reversed(list(enumerate(sizes, 1))):
+        yield least, -(-least * 100 // threshold), {k: 1 if k == 1 else n * 4**i for k, n in GROUPS[0].items()}
+    for groups in GROUPS:
+        yield 0, 0, groups
 
 
 class Signer:
     """Signatures of a batch of bags."""
 
-    def __init__(self, codes: np.ndarray, ranks: np.ndarray, sizes: np.ndarray, threshold: float):
-        self.codes, self.ranks, self.sizes, self.t = codes, ranks, sizes, int(round(threshold * 100))
+    def __init__(self, levels: np.ndarray, count: int, threshold: float):
+        self.levels, self.t = levels, int(round(threshold * 100))
+        self.by_level = combined(np.arange(int(levels.max(initial=0)) + 1), count)
         self.picks: dict[tuple[int, int], np.ndarray] = {}
 
     def pick(self, j: int, k: int) -> np.ndarray:
@@ -97,17 +144,20 @@ class Signer:
             self.picks[j, k] = np.array(list(combinations(range(j), k)), np.int64).reshape(-1, k)
         return self.picks[j, k]
 
-    def level(self, flat: np.ndarray, owner: np.ndarray, need: np.ndarray, probe: np.ndarray, most: int, groups: int, salt: int):
-        """(signature, owner, in the shorter prefix) of one level, and which records aren't worth enough in it."""
-        at = np.minimum(np.searchsorted(self.codes, flat), max(len(self.codes) - 1, 0))
-        known = (self.codes[at] == flat) if len(self.codes) else np.zeros(len(flat), bool)
-        size = np.where(known, np.minimum(self.sizes[at] if len(self.codes) else 1, most), 1)
-        rank = np.where(known, self.ranks[at] if len(self.codes) else 0, -1)
+    def overlap(self, n: int, m: int) -> int:
+        """Elements that bags of n and m have in common at least if they agree by the threshold."""
+        return -(-self.t * (n + m) // (100 + self.t))
+
+    def level(self, flat: np.ndarray, owner: np.ndarray, need: np.ndarray, probe: np.ndarray, groups: dict[int, int]):
+        """(signature, owner, in the shorter prefix) by one row of groups, and which records aren't worth enough by it.
+        Where two rows have as many groups of a kind, the signatures are the same."""
+        rank = self.levels[slots(flat)]
         order = np.lexsort((flat, rank, owner))
-        flat, owner, size = flat[order], owner[order], size[order]
-        of_size = {k: (groups if k == most else GROUPS[k]) for k in (1, 2, 3)}
-        group = size * 64 + (mix64(flat.view(np.uint64)) % np.array([0, of_size[1], of_size[2], of_size[3]], np.uint64)[size]).astype(np.int64)
-        within = np.lexsort((np.arange(len(flat)), group, owner))
+        flat, owner, size = flat[order], owner[order], self.by_level[rank[order]]
+        parts = np.array([1, *[groups[k] for k in range(1, MOST + 1)]], np.uint64)
+        hashed = mix64(flat.view(np.uint64))
+        group = size * (1 << 32) + (hashed % parts[size]).astype(np.int64)
+        within = np.lexsort((group, owner))  # stable: the order of ranks stays within a group
         g, o = group[within], owner[within]
         start = np.ones(len(flat), bool)
         start[1:] = (g[1:] != g[:-1]) | (o[1:] != o[:-1])
@@ -118,16 +168,14 @@ class Signer:
         spot = np.empty(len(flat), np.int64)  # where the element stands in the grouped order
         spot[within] = place
         worth = (nth >= size - 1).astype(np.int64)
-        total = np.cumsum(worth)
-        before = total - worth
+        before = np.cumsum(worth) - worth
         head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        base = np.repeat(before[head], np.diff(np.r_[head, len(flat)]))
-        before = before - base
+        before = before - np.repeat(before[head], np.diff(np.r_[head, len(flat)]))
         in_probe, in_need = before < probe[owner], before < need[owner]
         whole = np.bincount(owner, worth, len(need))
         sigs, owners, flags = [], [], []
-        grouped = flat.view(np.uint64)[within]
-        for k in (1, 2, 3):
+        grouped = hashed[within]
+        for k in range(1, MOST + 1):
             mine = np.flatnonzero(in_probe & (size == k) & (nth >= k - 1))
             for j in np.unique(nth[mine]) if k > 1 else ([0] if len(mine) else []):
                 rows = mine[nth[mine] == j] if k > 1 else mine
@@ -140,51 +188,69 @@ class Signer:
                     h = np.repeat(own[:, None], len(pick), 1)
                     for c in range(k - 1):
                         h = h * np.uint64(0x2545F4914F6CDD1D) + grouped[begin[:, None] + pick[None, :, c]]
-                sigs.append(mix64((h + np.uint64(salt * 7 + k)).ravel()))
+                sigs.append(mix64((h + np.uint64(groups[k] * 7 + k)).ravel()))
                 owners.append(np.repeat(owner[rows], h.shape[1]))
                 flags.append(np.repeat(in_need[rows], h.shape[1]))
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         return join(sigs, np.uint64), join(owners, np.int64), join(flags, bool), whole < probe
 
+    def subsets(self, codes: np.ndarray) -> Iterator[tuple[int, bool]]:
+        """(signature, with a partner no larger) of every subset that a partner of some size has in common at least."""
+        n, done = len(codes), set()
+        hashed = np.sort(mix64(codes.view(np.uint64)))
+        for m in [*range(n, 0, -1), *range(n + 1, n * 100 // self.t + 1)]:
+            k = self.overlap(n, m)
+            if k > min(n, m) or min(n, m) * 100 < max(n, m) * self.t:
+                continue
+            if k in done:
+                continue
+            done.add(k)
+            h = np.zeros(len(self.pick(n, k)), np.uint64)
+            for c in range(k):
+                h = h * np.uint64(0x2545F4914F6CDD1D) + hashed[self.pick(n, k)[:, c]]
+            yield mix64(h + np.uint64(1000 + k)), True
+
     def sign(self, sets: list[np.ndarray], salts: np.ndarray):
-        """Signatures of all levels; salts keep the kinds of records apart."""
+        """Signatures by all rows of GROUPS that a record needs; salts keep the kinds of records apart."""
         n = np.array([len(s) for s in sets], np.int64)
         t = self.t
         probe = n - -(-t * n // 100) + 1
         need = n - -(-2 * t * n // (100 + t)) + 1
         left, out = np.arange(len(sets)), []
-        for level, (most, groups) in enumerate(LEVELS):
-            flat = np.concatenate([sets[i] for i in left]) if len(left) else np.zeros(0, np.int64)
-            owner = np.repeat(np.arange(len(left)), n[left])
-            if not len(flat):
-                break
-            sig, own, flag, short = self.level(flat, owner, need[left], probe[left], most, groups, level)
-            out.append((mix64(sig + salts[left[own]]), left[own], flag))
-            left = left[short]
+        for least, enough, groups in rows_of(int(n.max()), t):
+            use = left[n[left] >= least]
+            if not len(use):
+                continue
+            flat = np.concatenate([sets[i] for i in use])
+            owner = np.repeat(np.arange(len(use)), n[use])
+            sig, own, flag, short = self.level(flat, owner, need[use], probe[use], groups)
+            out.append((sig, use[own], flag))
+            left = np.setdiff1d(left, use[~short & (n[use] >= enough)], assume_unique=True)
+        for i in left.tolist():
+            for sig, flag in self.subsets(sets[i]):
+                out.append((sig, np.full(len(sig), i), np.full(len(sig), flag)))
         sig, own, flag = (np.concatenate(x) for x in zip(*out))
-        order = np.argsort(own, kind="stable")  # rows of one record side by side: what they share compresses well
-        return sig[order], own[order], flag[order], n
+        order = np.lexsort((~flag, sig, own))  # rows of one record side by side: what they share compresses well
+        sig, own, flag = sig[order], own[order], flag[order]
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]  # several rows may give the same
+        return mix64(sig[new] + salts[own[new]]), own[new], flag[new], n
 
     @staticmethod
     def bitmaps(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
-        """192 parity bits a record: sets that differ in d elements differ in at most d bits."""
+        """128 parity bits a record: sets that differ in d elements differ in at most d bits."""
         owner = np.repeat(np.arange(len(sets)), n)
-        bit = (mix64(np.concatenate(sets).view(np.uint64)) % np.uint64(192)).astype(np.int64)
-        odd = np.bincount(owner * 192 + bit, minlength=len(sets) * 192).reshape(-1, 192) & 1
+        bit = (mix64(np.concatenate(sets).view(np.uint64)) >> np.uint64(57)).astype(np.int64)
+        odd = np.bincount(owner * 128 + bit, minlength=len(sets) * 128).reshape(-1, 128) & 1
         return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
-def signatures(bags: DataFrame, frequent: list[tuple[int, int]], count: int, threshold: float) -> DataFrame:
-    """(sig, bag_no, meta, bits_a, bits_b, bits_c) of bags (bag_no, kind, bag); meta = 2 * size + in the shorter prefix."""
-    frequent = sorted(frequent, key=lambda x: (x[1], x[0]))
-    codes = np.array([c for c, _ in frequent], np.int64)
-    sizes = np.array([2 if d <= PAIRS * count else 3 for _, d in frequent], np.int64)
-    order = np.argsort(codes)
-    spread = bags.sparkSession.sparkContext.broadcast((codes[order], order.astype(np.int64), sizes[order]))
-    names = ["sig", "bag_no", "meta", "bits_a", "bits_b", "bits_c"]
+def signatures(bags: DataFrame, levels: np.ndarray, count: int, threshold: float) -> DataFrame:
+    """(sig, bag_no, meta, bits_a, bits_b) of bags (bag_no, kind, bag); meta = 2 * size + in the shorter prefix."""
+    shared = bags.sparkSession.sparkContext.broadcast(levels)
+    names = ["sig", "bag_no", "meta", "bits_a", "bits_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(*spread.value, threshold)
+        signer = Signer(shared.value, count, threshold)
         for big in batches:
             for at in range(0, big.num_rows, SLICE):
                 b = big.slice(at, SLICE)
@@ -195,43 +261,59 @@ def signatures(bags: DataFrame, frequent: list[tuple[int, int]], count: int, thr
                 sig, own, flag, n = signer.sign(sets, salts)
                 bits = signer.bitmaps(sets, n)
                 no = b.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((sig >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(no[own]), pa.array((2 * n[own] + flag).astype(np.int32)), *[pa.array(bits[own, c]) for c in range(3)]], names
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(no[own]), pa.array((2 * n[own] + flag).astype(np.int32)), *[pa.array(bits[own, c]) for c in range(2)]], names)
 
-    return bags.select("bag_no", "kind", "bag").mapInArrow(run, "sig int, bag_no bigint, meta int, bits_a bigint, bits_b bigint, bits_c bigint")
+    return bags.select("bag_no", "kind", "bag").mapInArrow(run, "sig bigint, bag_no bigint, meta int, bits_a bigint, bits_b bigint")
 
 
-def similar_bags(bags: DataFrame, threshold: float = THRESHOLD, wanted: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def _close(a: str, b: str, t: int) -> Column:
+    """What signature rows a and b of a pair over the threshold must satisfy besides: the smaller bag has the signature in its
+    shorter prefix, sizes are near enough, and no more parity bits differ than elements may."""
+    size_a, size_b = F.shiftright(f"{a}.meta", 1), F.shiftright(f"{b}.meta", 1)
+    differ = sum(F.bit_count(F.col(f"{a}.bits_{c}").bitwiseXOR(F.col(f"{b}.bits_{c}"))) for c in "ab")
+    small, large = F.least(size_a, size_b), F.greatest(size_a, size_b)
+    flag = F.when(size_a < size_b, F.col(f"{a}.meta")).when(size_b < size_a, F.col(f"{b}.meta")).otherwise(F.col(f"{a}.meta").bitwiseOR(F.col(f"{b}.meta")))
+    return (flag.bitwiseAND(F.lit(1)) == 1) & (small * 100 >= large * t) & (differ * (100 + t) <= (size_a + size_b) * (100 - t))
+
+
+def _verified(pairs: DataFrame, low: DataFrame, high: DataFrame, t: int) -> DataFrame:
+    """Of pairs (low_no, high_no) those whose bags agree by the threshold."""
+    low = low.select(F.col("bag_no").alias("low_no"), F.col("bag").alias("low_bag"))
+    high = high.select(F.col("bag_no").alias("high_no"), F.col("bag").alias("high_bag"))
+    both = pairs.distinct().join(low, "low_no").join(high, "high_no")
+    common = F.size(F.array_intersect("low_bag", "high_bag"))
+    return both.filter(common * (100 + t) >= (F.size("low_bag") + F.size("high_bag")) * t).select("low_no", "high_no")
+
+
+def similar_bags(bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(low_no, high_no): all pairs of different bags of one kind whose multiset Jaccard similarity is >= threshold.
 
-    bags: (bag_no, kind, bag), read several times. Frequent elements are those in more than ALONE of all bags, so there
-    are at most (mean size / ALONE) of them whatever the number of bags; only they are collected and broadcast.
-    wanted tells by their numbers which pairs are looked for, all if it isn't given; it should be one comparison that
-    names both, as a test of one side would be pushed below the exchange.
+    bags: (bag_no, kind, bag), read several times. What is collected and broadcast is the table of frequencies, of fixed
+    size. The signatures are shuffled once for both sides of their join.
     """
     t = int(round(threshold * 100))
-    counted = bags.agg(F.count("*").alias("n")).first().n
-    floor = max(8.0, ALONE * counted)
-    often = bags.select(F.explode("bag").alias("code")).groupBy("code").count().filter(F.col("count") > floor)
-    frequent = [(r["code"], r["count"]) for r in often.collect()]
-    rows = signatures(bags, frequent, counted, threshold)
+    rows = signatures(bags, frequencies(bags), bags.count(), threshold)
     a, b = rows.alias("a"), rows.alias("b")
     size_a, size_b = F.shiftright("a.meta", 1), F.shiftright("b.meta", 1)
-    differ = sum(F.bit_count(F.col(f"a.bits_{c}").bitwiseXOR(F.col(f"b.bits_{c}"))) for c in "abc")
     smaller = (size_a < size_b) | ((size_a == size_b) & (F.col("a.bag_no") < F.col("b.bag_no")))
     # The test of a's flag names b as well: as a filter of one side it would be pushed below the exchange, and the
     # signatures would be shuffled twice instead of once for both sides.
     flagged = F.col("a.meta").bitwiseAND(F.lit(1)) + F.col("b.meta").bitwiseAND(F.lit(0)) == 1
-    if wanted is not None:
-        flagged = flagged & wanted(F.col("a.bag_no"), F.col("b.bag_no"))
+    differ = sum(F.bit_count(F.col(f"a.bits_{c}").bitwiseXOR(F.col(f"b.bits_{c}"))) for c in "ab")
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & flagged & smaller & (size_a * 100 >= size_b * t) & (differ * (100 + t) <= (size_a + size_b) * (100 - t)))
-    pairs = pairs.select(F.least("a.bag_no", "b.bag_no").alias("low_no"), F.greatest("a.bag_no", "b.bag_no").alias("high_no")).distinct()
-    low = bags.select(F.col("bag_no").alias("low_no"), F.col("bag").alias("low_bag"))
-    high = bags.select(F.col("bag_no").alias("high_no"), F.col("bag").alias("high_bag"))
-    both = pairs.join(low, "low_no").join(high, "high_no")
-    common = F.size(F.array_intersect("low_bag", "high_bag"))
-    return both.filter(common * (100 + t) >= (F.size("low_bag") + F.size("high_bag")) * t).select("low_no", "high_no")
+    return _verified(pairs.select(F.least("a.bag_no", "b.bag_no").alias("low_no"), F.greatest("a.bag_no", "b.bag_no").alias("high_no")), bags, bags, t)
+
+
+def similar_across(bags: DataFrame, left: Column, right: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """(low_no, high_no): as similar_bags, of a bag for which left holds and another for which right holds, in this order.
+
+    Each side's signatures are shuffled once, and only bags of different sides are compared.
+    """
+    t = int(round(threshold * 100))
+    levels, count = frequencies(bags), bags.count()
+    a, b = (signatures(bags.filter(side), levels, count, threshold).alias(name) for side, name in ((left, "a"), (right, "b")))
+    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.bag_no") != F.col("b.bag_no")) & _close("a", "b", t))
+    return _verified(pairs.select(F.col("a.bag_no").alias("low_no"), F.col("b.bag_no").alias("high_no")), bags.filter(left), bags.filter(right), t)
 
 
 def members_and_bags(df: DataFrame) -> tuple[DataFrame, DataFrame]:

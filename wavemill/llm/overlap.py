@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, first_per_key, mix64, not_blank, spread
-from .near import THRESHOLD, similar_bags
+from .near import THRESHOLD, similar_across
 
 #: Words of a fingerprint, and fingerprints of a window: every common run of GRAM + WINDOW - 1 words shares one.
 GRAM, WINDOW = 4, 6
@@ -212,12 +212,12 @@ def sequence_rows(df: DataFrame) -> DataFrame:
                 b = big.slice(at, SLICE)
                 seqs = turn.of(b.column(5).to_pylist())
                 n = np.array([len(s) for s in seqs])
-                ids = pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in seqs], pa.int64())
+                ids = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in seqs], pa.binary())
                 array = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(seqs)))
                 yield pa.RecordBatch.from_arrays([*b.columns[:5], ids, array], names).filter(pa.array(n > 0))
 
     rows = df.filter(F.col("split").isin([TRAIN, *HELD_OUT]) & not_blank("text")).select("kind", "rec_id", "loaded_at", "split", "source", "text")
-    return spread(rows, "rec_id", "loaded_at").mapInArrow(run, "kind string, rec_id bigint, loaded_at timestamp, split string, source string, seq_id bigint, seq array<int>")
+    return spread(rows, "rec_id", "loaded_at").mapInArrow(run, "kind string, rec_id bigint, loaded_at timestamp, split string, source string, seq_id binary, seq array<int>")
 
 
 def _elements(seq: np.ndarray) -> np.ndarray:
@@ -238,16 +238,11 @@ def exact_candidates(texts: DataFrame, threshold: float) -> DataFrame:
                 lists = b.column(2)
                 bags = [_elements(x) for x in np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1])]
                 array = pa.ListArray.from_arrays(lists.offsets, pa.array(np.concatenate(bags)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), array], ["bag_no", "kind", "bag"])
-
-    # The sides of a text are in its number: 2 for train, 1 for held out.
-    sides = F.col("text_no") * 4 + F.col("in_train").cast("bigint") * 2 + F.col("held_out").cast("bigint")
-    bags = cut(texts.select(sides.alias("bag_no"), "kind", "seq").mapInArrow(run, "bag_no bigint, kind string, bag array<int>"))
-    turned = lambda c: F.shiftright(c.bitwiseAND(F.lit(2)), 1).bitwiseOR(F.shiftleft(c.bitwiseAND(F.lit(1)), 1))
-    found = similar_bags(bags, threshold, lambda a, b: a.bitwiseAND(turned(b)) != 0)
-    both = found.select(F.explode(F.array(F.struct(F.col("low_no").alias("h"), F.col("high_no").alias("t")), F.struct(F.col("high_no").alias("h"), F.col("low_no").alias("t")))).alias("x")).select("x.*")
-    both = both.filter((F.col("h").bitwiseAND(F.lit(1)) == 1) & (F.col("t").bitwiseAND(F.lit(2)) == 2))
-    return both.select(F.shiftright("h", 2).alias("held_no"), F.shiftright("t", 2).alias("train_no"))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), array, *b.columns[3:]], ["bag_no", "kind", "bag", "in_train", "held_out"])
+
+    bags = cut(texts.select(F.col("text_no").alias("bag_no"), "kind", "seq", "in_train", "held_out").mapInArrow(run, "bag_no bigint, kind string, bag array<int>, in_train boolean, held_out boolean"))
+    found = similar_across(bags, F.col("held_out"), F.col("in_train"), threshold)
+    return found.select(F.col("low_no").alias("held_no"), F.col("high_no").alias("train_no"))
 
 
 def cross_split(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
