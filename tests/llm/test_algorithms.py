@@ -189,6 +189,22 @@ def test_common_runs_share_a_winnowed_fingerprint():
         assert set(h[pick[owner[pick] == 0]].tolist()) & set(h[pick[owner[pick] == 1]].tolist())
 
 
+def test_gaps_align_as_by_the_plain_table():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        x, y = (rng.integers(0, 6, rng.integers(0, 90)).tolist() for _ in range(2))
+        row = [0] * (len(y) + 1)
+        for u in x:
+            last = 0
+            for j, v in enumerate(y, 1):
+                last, row[j] = row[j], last + 1 if u == v else max(row[j], row[j - 1])
+        assert overlap._common(x, y) == row[-1]
+    long = rng.integers(0, 40, 20_000).astype(np.int32)  # repetitive, with every 50th word another
+    other = long.copy()
+    other[::50] = 99
+    assert overlap.coverage(long, other) >= 0.98
+
+
 def test_coverage_of_edits():
     x = np.arange(60, dtype=np.int32)
     y = np.concatenate([x[:20], [900, 901], x[23:50], x[51:]]).astype(np.int32)

@@ -17,9 +17,8 @@ from .near import THRESHOLD, similar_across
 
 #: Words of a fingerprint, and fingerprints of a window: every common run of GRAM + WINDOW - 1 words shares one.
 GRAM, WINDOW = 4, 6
-#: Fingerprints in more than this share of a partition's texts are frequent; a window yields one only if all of it is.
-FREQUENT = 2e-4
-SEEDS, GAP = 16, 250_000
+#: Counters of fingerprints: a table of fixed size, whatever the corpus.
+COUNTERS = 1 << 17
 TRAIN, HELD_OUT = "train", ["valid", "test"]
 SLICE = 2048
 
@@ -71,7 +70,7 @@ def winnow(h: np.ndarray, owner: np.ndarray, order: np.ndarray, window: int = WI
 
 
 def parity(seqs: list[np.ndarray]) -> np.ndarray:
-    """192 parity bits of each text's bag: bags that differ in d elements differ in at most d bits."""
+    """128 parity bits of each text's bag: bags that differ in d elements differ in at most d bits."""
     n = np.array([len(s) for s in seqs], np.int64)
     flat, owner = np.concatenate(seqs).view(np.uint32).astype(np.uint64), np.repeat(np.arange(len(seqs)), n)
     order = np.lexsort((flat, owner))
@@ -79,8 +78,8 @@ def parity(seqs: list[np.ndarray]) -> np.ndarray:
     at = np.arange(len(flat))
     start = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])]
     nth = (at - np.maximum.accumulate(np.where(start, at, 0))).astype(np.uint64)
-    bit = (mix64(flat + nth * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(192)).astype(np.int64)
-    odd = np.bincount(owner * 192 + bit, minlength=len(seqs) * 192).reshape(-1, 192) & 1
+    bit = (mix64(flat + nth * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)).astype(np.int64)
+    odd = np.bincount(owner * 128 + bit, minlength=len(seqs) * 128).reshape(-1, 128) & 1
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
@@ -92,17 +91,33 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 def coverage(a: np.ndarray, b: np.ndarray, k: int = GRAM) -> float:
     """Share of a's words that align with b: seeds of k words, the longest collinear chain of them, each extended while
-    the words agree, and the gaps between neighbours aligned word by word. Runs that b holds more than SEEDS times are no
-    seeds, and a gap of more than GAP cells counts its common words in any order: so repetitive texts of any length
-    take time in proportion to their length."""
+    the words agree, and the gaps between neighbours aligned word by word. Exact for texts of any length and repetition:
+    occurrences of a run pair up in bit-parallel rows, so no run is left out, and a gap takes its length times its
+    length in machine words."""
     x, y = a.tolist(), b.tolist()
     if not x:
         return 0.0
     k = min(k, len(x), len(y))
-    at: dict[tuple[int, ...], list[int]] = {}
-    for j in range(len(y) - k + 1):
-        at.setdefault(tuple(y[j : j + k]), []).append(j)
-    seeds = [(i, j) for i in range(len(x) - k + 1) if len(found := at.get(tuple(x[i : i + k]), ())) <= SEEDS for j in reversed(found)]
+    if not k:
+        return 0.0
+    matched, i0, j0 = 0, 0, 0
+    for i, j in [*_chain(x, y, k), (len(x), len(y))]:
+        if i < i0 or j < j0:  # overlaps what an earlier seed already covers on the same diagonal
+            step = max(i0 - i, j0 - j)
+            i, j = i + step, j + step
+        matched += _common(x[i0:i], y[j0:j])
+        i0, j0 = i, j
+        while i0 < len(x) and j0 < len(y) and x[i0] == y[j0]:
+            matched, i0, j0 = matched + 1, i0 + 1, j0 + 1
+    return min(matched / len(x), 1.0)
+
+
+def _chain(x: list[int], y: list[int], k: int) -> list[tuple[int, int]]:
+    """A longest collinear chain of common runs of k words. Runs that both texts hold once are chained by patience sorting;
+    between two of these the repeated ones are left to the alignment of the gap, which finds them all."""
+    once = lambda t: {g: i for g, i in _places(t, k).items() if i >= 0}
+    there = once(y)
+    seeds = sorted((i, there[g]) for g, i in once(x).items() if g in there)
     tails: list[int] = []
     ends: list[int] = []
     back = [-1] * len(seeds)
@@ -119,66 +134,66 @@ def coverage(a: np.ndarray, b: np.ndarray, k: int = GRAM) -> float:
     while s >= 0:
         chain.append(seeds[s])
         s = back[s]
-    chain.reverse()
-    matched, i0, j0 = 0, 0, 0
-    for i, j in [*chain, (len(x), len(y))]:
-        if i < i0 or j < j0:  # overlaps what an earlier seed already covers on the same diagonal
-            step = max(i0 - i, j0 - j)
-            i, j = i + step, j + step
-        matched += _common(x[i0:i], y[j0:j])
-        i0, j0 = i, j
-        while i0 < len(x) and j0 < len(y) and x[i0] == y[j0]:
-            matched, i0, j0 = matched + 1, i0 + 1, j0 + 1
-    return min(matched / len(x), 1.0)
+    return chain[::-1]
+
+
+def _places(t: list[int], k: int) -> dict[tuple[int, ...], int]:
+    """The place of each run of k words, -1 for one that occurs again."""
+    at: dict[tuple[int, ...], int] = {}
+    for i in range(len(t) - k + 1):
+        g = tuple(t[i : i + k])
+        at[g] = -1 if g in at else i
+    return at
 
 
 def _common(x: list[int], y: list[int]) -> int:
-    """Longest common subsequence of two gaps."""
+    """Length of the longest common subsequence of two gaps, a row of bits for each word of the longer one."""
     if not x or not y:
         return 0
-    if len(x) * len(y) > GAP:
-        return sum((Counter(x) & Counter(y)).values())
-    row = [0] * (len(y) + 1)
-    for u in x:
-        last = 0
-        for j, v in enumerate(y, 1):
-            last, row[j] = row[j], last + 1 if u == v else max(row[j], row[j - 1])
-    return row[-1]
+    if len(x) > len(y):
+        x, y = y, x
+    masks: dict[int, int] = {}
+    for i, u in enumerate(x):
+        masks[u] = masks.get(u, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for v in y:
+        if m := masks.get(v):
+            hit = row & m
+            row = ((row + hit) | (row - hit)) & full
+    return len(x) - row.bit_count()
+
+
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """By counter: how many times as frequent as the mean counter, as a binary logarithm, 0 for less than twice.
+
+    Rare fingerprints share counters and are all 0; those of phrases that many texts hold stand out. A task holds and
+    passes on COUNTERS numbers at most, and as many come to the driver and are broadcast.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int64)
+        for big in batches:
+            for at in range(0, big.num_rows, SLICE):
+                lists = big.column(0).slice(at, SLICE)
+                ends = lists.offsets.to_numpy()
+                seqs = [lists.values.to_numpy()[ends[i] : ends[i + 1]] for i in range(len(ends) - 1)]
+                held += np.bincount((grams(seqs)[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        slot = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(held[slot])], ["slot", "n"])
 
-def _frequent(texts: DataFrame) -> list[tuple[int, int]]:
-    """Fingerprints that are frequent in some partition, with their counts there.
+    rows = texts.select("seq").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS)
+    counts[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return np.log2(np.maximum(counts * COUNTERS / max(counts.sum(), 1), 1)).astype(np.uint8)
 
-    What is frequent overall is frequent in a partition. At most (mean fingerprints of a text / FREQUENT) of each
-    partition are emitted; the sum is cut to those frequent overall, so no more are collected whatever the corpus.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            lists = b.column(0)
-            seqs = np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1])
-            h, owner = grams(seqs)
-            held.append(np.unique(np.stack([owner.astype(np.uint64), h], 1), axis=0)[:, 1] if len(h) else h)
-            n += b.num_rows
-        if n:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= max(4, FREQUENT * n)
-            yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["h", "n"])
-
-    total = texts.count()
-    sums = texts.select("seq").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    return [(r.h, r.n) for r in sums.filter(F.col("n") > max(8.0, FREQUENT * total)).collect()]
-
-
-def fingerprints(texts: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
+def fingerprints(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     """(fp, text_no, size, bits..) of texts (text_no, kind, seq): the winnowed fingerprints, rare before frequent ones."""
-    frequent = sorted(frequent)
-    spread = texts.sparkSession.sparkContext.broadcast((np.array([h for h, _ in frequent], np.int64), np.array([n for _, n in frequent], np.int64)))
-    names = ["fp", "text_no", "size", "bits_a", "bits_b", "bits_c"]
+    shared = texts.sparkSession.sparkContext.broadcast(levels)
+    names = ["fp", "text_no", "size", "bits_a", "bits_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = spread.value
         for big in batches:
             for start in range(0, big.num_rows, SLICE):
                 b = big.slice(start, SLICE)
@@ -186,19 +201,15 @@ def fingerprints(texts: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame
                 ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
                 seqs = [values[ends[i] : ends[i + 1]] for i in range(len(ends) - 1)]
                 h, owner = grams(seqs)
-                order = np.zeros(len(h), np.int64)
-                if len(codes):
-                    at = np.minimum(np.searchsorted(codes, h.view(np.int64)), len(codes) - 1)
-                    order = np.where(codes[at] == h.view(np.int64), counts[at], 0)
-                pick = winnow(h, owner, order)
-                own = owner[pick]
+                pick = winnow(h, owner, shared.value[(h % np.uint64(COUNTERS)).astype(np.int64)])
                 salts = np.array([xxhash.xxh64_intdigest(k.encode()) for k in b.column(1).to_pylist()], np.uint64)
-                pair, first = np.unique(np.stack([own.astype(np.uint64), h[pick]], 1), axis=0, return_index=True)
-                own, fp = own[first], mix64(pair[:, 1] + salts[own[first]])
+                pair = np.unique(np.stack([owner[pick].astype(np.uint64), h[pick]], 1), axis=0)
+                own = pair[:, 0].astype(np.int64)
+                fp = mix64(pair[:, 1] + salts[own])
                 bits, n, no = parity(seqs), np.diff(ends).astype(np.int32), b.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array((fp >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(no[own]), pa.array(n[own]), *[pa.array(bits[own, c]) for c in range(3)]], names)
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(no[own]), pa.array(n[own]), *[pa.array(bits[own, c]) for c in range(2)]], names)
 
-    return texts.select("text_no", "kind", "seq").mapInArrow(run, "fp int, text_no bigint, size int, bits_a bigint, bits_b bigint, bits_c bigint")
+    return texts.select("text_no", "kind", "seq").mapInArrow(run, "fp bigint, text_no bigint, size int, bits_a bigint, bits_b bigint")
 
 
 def sequence_rows(df: DataFrame) -> DataFrame:
@@ -249,8 +260,9 @@ def cross_split(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(kind, held_id, train_id, held_split, held_source, similarity, coverage): records of valid or test with each record
     of train whose bag of words agrees by the threshold; coverage is the aligned share of the held-out record's words.
 
-    Candidates share a winnowed fingerprint across the splits, or are found by the exact prefixes of near.py. Lengths and parity bits, which every pair above the
-    threshold must satisfy, are tested within the join; the rest is chained, aligned and measured exactly. Equal texts
+    Candidates share a winnowed fingerprint across the splits, or are found by the exact prefixes of near.py. Lengths and
+    parity bits, which every pair above the threshold must satisfy, are tested within the join; the rest is chained,
+    aligned and measured exactly. Equal texts
     are one text with several records. Null splits, null and blank texts take no part; no fingerprint is dropped, and a
     frequent one stands for a window only if all others in it are frequent too.
     """
@@ -259,9 +271,9 @@ def cross_split(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = cut(rows.groupBy("kind", "seq_id").agg(F.first("seq").alias("seq"), F.max(F.col("split") == TRAIN).alias("in_train"), F.max(F.col("split") != TRAIN).alias("held_out")).withColumn("text_no", F.monotonically_increasing_id()))
     last = first_per_key(rows, ["kind", "rec_id"], ["split", "source", "seq_id"], "loaded_at")
     members = cut(last.join(texts.select("kind", "seq_id", "text_no"), ["kind", "seq_id"]).select("kind", "rec_id", "split", "source", "text_no"))
-    frequent = _frequent(texts)
-    a, b = fingerprints(texts.filter("held_out"), frequent).alias("a"), fingerprints(texts.filter("in_train"), frequent).alias("b")
-    differ = sum(F.bit_count(F.col(f"a.bits_{c}").bitwiseXOR(F.col(f"b.bits_{c}"))) for c in "abc")
+    levels = frequencies(texts)
+    a, b = fingerprints(texts.filter("held_out"), levels).alias("a"), fingerprints(texts.filter("in_train"), levels).alias("b")
+    differ = sum(F.bit_count(F.col(f"a.bits_{c}").bitwiseXOR(F.col(f"b.bits_{c}"))) for c in "ab")
     both = F.col("a.size") + F.col("b.size")
     near = (F.least("a.size", "b.size") * 100 >= F.greatest("a.size", "b.size") * t) & (differ * (100 + t) <= both * (100 - t))
     pairs = a.join(b, (F.col("a.fp") == F.col("b.fp")) & (F.col("a.text_no") != F.col("b.text_no")) & near)
