@@ -3,7 +3,7 @@
 A text is the bag of its words; the n-th occurrence of a word is an element of its own, so bags become sets. Elements
 have one global order, rare ones first. Two records that agree by the threshold can differ in only so many elements;
 every record therefore indexes a prefix of its ordered elements. Rare elements are indexed alone, frequent ones only in
-combinations of two to four taken within fixed groups of elements, as a single frequent word tells too little. A group of
+pairs or triples taken within fixed groups of elements, as a single frequent word tells too little. A group of
 c elements in a prefix is worth c - k + 1, since that many must be lost before none of its k-combinations is left; the
 prefix is extended until it is worth one more than what may differ. So each pair above the threshold shares a combination.
 
@@ -26,9 +26,8 @@ from .common import WORD, cut, first_per_key, mix64, not_blank, spread
 from .components import components
 
 THRESHOLD = 0.7
-#: Elements up to the first share of the bags are indexed alone, up to the second in pairs, up to the third in triples, the
-#: rest in combinations of four.
-SHARES = (2e-3, 0.05, 0.3)
+#: Elements up to the first share of the bags are indexed alone, up to the second in pairs, the rest in triples.
+SHARES = (0.01, 0.05)
 MOST = len(SHARES) + 1
 #: Counters of elements: a table of fixed size, whatever the vocabulary. Elements that share one count as equally frequent.
 COUNTERS = 1 << 20
@@ -36,10 +35,12 @@ COUNTERS = 1 << 20
 FEW = 8
 #: Groups of elements whose members are combined, by number combined: the next row is for records whose whole text isn't
 #: worth enough by the row before. Those not worth enough by the last have few elements and index whole subsets.
-GROUPS = [{1: 1, 2: 4, 3: 12, 4: 5}, {1: 1, 2: 2, 3: 3, 4: 4}, {1: 1, 2: 1, 3: 1, 4: 1}]
+GROUPS = [{1: 1, 2: 6, 3: 16}, {1: 1, 2: 2, 3: 4}, {1: 1, 2: 1, 3: 1}]
 #: Longer records have more groups, so that these stay small: from so many elements on, and then at each fourfold size,
 #: there is a row of four times as many before.
 LONG = 300
+#: Bits of a signature row that hold size and role, and the size that stands for all from it on.
+META, LARGEST = (1 << 24) - 1, (1 << 23) - 1
 SLICE = 2048
 
 
@@ -237,17 +238,21 @@ class Signer:
 
     @staticmethod
     def bitmaps(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
-        """128 parity bits a record: sets that differ in d elements differ in at most d bits."""
+        """192 parity bits a record: sets that differ in d elements differ in at most d bits."""
         owner = np.repeat(np.arange(len(sets)), n)
-        bit = (mix64(np.concatenate(sets).view(np.uint64)) >> np.uint64(57)).astype(np.int64)
-        odd = np.bincount(owner * 128 + bit, minlength=len(sets) * 128).reshape(-1, 128) & 1
+        bit = (mix64(np.concatenate(sets).view(np.uint64)) % np.uint64(192)).astype(np.int64)
+        odd = np.bincount(owner * 192 + bit, minlength=len(sets) * 192).reshape(-1, 192) & 1
         return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
 def signatures(bags: DataFrame, levels: np.ndarray, count: int, threshold: float) -> DataFrame:
-    """(sig, bag_no, meta, bits_a, bits_b) of bags (bag_no, kind, bag); meta = 2 * size + in the shorter prefix."""
+    """(sig, bag_no, bits_a, bits_b, bits_c) of bags (bag_no, kind, bag).
+
+    sig holds 40 bits of the signature, 23 of the bag's size and whether the signature is in its shorter prefix; equal
+    signatures of different combinations only cost a comparison.
+    """
     shared = bags.sparkSession.sparkContext.broadcast(levels)
-    names = ["sig", "bag_no", "meta", "bits_a", "bits_b"]
+    names = ["sig", "bag_no", "bits_a", "bits_b", "bits_c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(shared.value, count, threshold)
@@ -261,25 +266,29 @@ def signatures(bags: DataFrame, levels: np.ndarray, count: int, threshold: float
                 sig, own, flag, n = signer.sign(sets, salts)
                 bits = signer.bitmaps(sets, n)
                 no = b.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(no[own]), pa.array((2 * n[own] + flag).astype(np.int32)), *[pa.array(bits[own, c]) for c in range(2)]], names)
+                packed = (sig & ~np.uint64(META)) | (2 * np.minimum(n[own], LARGEST) + flag).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(no[own]), *[pa.array(bits[own, c]) for c in range(3)]], names)
+
+    return bags.select("bag_no", "kind", "bag").mapInArrow(run, "sig bigint, bag_no bigint, bits_a bigint, bits_b bigint, bits_c bigint")
+
 
-    return bags.select("bag_no", "kind", "bag").mapInArrow(run, "sig bigint, bag_no bigint, meta int, bits_a bigint, bits_b bigint")
+def _size(row: str) -> Column:
+    return F.shiftright(F.col(f"{row}.sig").bitwiseAND(F.lit(META)), 1)
 
 
 def _close(a: str, b: str, t: int) -> Column:
-    """What signature rows a and b of a pair over the threshold must satisfy besides: the smaller bag has the signature in its
-    shorter prefix, sizes are near enough, and no more parity bits differ than elements may."""
-    size_a, size_b = F.shiftright(f"{a}.meta", 1), F.shiftright(f"{b}.meta", 1)
-    differ = sum(F.bit_count(F.col(f"{a}.bits_{c}").bitwiseXOR(F.col(f"{b}.bits_{c}"))) for c in "ab")
-    small, large = F.least(size_a, size_b), F.greatest(size_a, size_b)
-    flag = F.when(size_a < size_b, F.col(f"{a}.meta")).when(size_b < size_a, F.col(f"{b}.meta")).otherwise(F.col(f"{a}.meta").bitwiseOR(F.col(f"{b}.meta")))
-    return (flag.bitwiseAND(F.lit(1)) == 1) & (small * 100 >= large * t) & (differ * (100 + t) <= (size_a + size_b) * (100 - t))
+    """What signature rows a and b of a pair over the threshold must satisfy: the same signature, sizes near enough, and no
+    more parity bits that differ than elements may."""
+    small, large = F.least(_size(a), _size(b)), F.greatest(_size(a), _size(b))
+    differ = sum(F.bit_count(F.col(f"{a}.bits_{c}").bitwiseXOR(F.col(f"{b}.bits_{c}"))) for c in "abc")
+    fits = (small * 100 >= large * t) & (differ * (100 + t) <= (small + large) * (100 - t))
+    return (F.shiftright(f"{a}.sig", 24) == F.shiftright(f"{b}.sig", 24)) & (fits | (large == LARGEST))
 
 
-def _verified(pairs: DataFrame, low: DataFrame, high: DataFrame, t: int) -> DataFrame:
+def _verified(pairs: DataFrame, bags: DataFrame, t: int) -> DataFrame:
     """Of pairs (low_no, high_no) those whose bags agree by the threshold."""
-    low = low.select(F.col("bag_no").alias("low_no"), F.col("bag").alias("low_bag"))
-    high = high.select(F.col("bag_no").alias("high_no"), F.col("bag").alias("high_bag"))
+    low = bags.select(F.col("bag_no").alias("low_no"), F.col("bag").alias("low_bag"))
+    high = bags.select(F.col("bag_no").alias("high_no"), F.col("bag").alias("high_bag"))
     both = pairs.distinct().join(low, "low_no").join(high, "high_no")
     common = F.size(F.array_intersect("low_bag", "high_bag"))
     return both.filter(common * (100 + t) >= (F.size("low_bag") + F.size("high_bag")) * t).select("low_no", "high_no")
@@ -294,26 +303,26 @@ def similar_bags(bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     t = int(round(threshold * 100))
     rows = signatures(bags, frequencies(bags), bags.count(), threshold)
     a, b = rows.alias("a"), rows.alias("b")
-    size_a, size_b = F.shiftright("a.meta", 1), F.shiftright("b.meta", 1)
-    smaller = (size_a < size_b) | ((size_a == size_b) & (F.col("a.bag_no") < F.col("b.bag_no")))
+    smaller = (_size("a") < _size("b")) | ((_size("a") == _size("b")) & (F.col("a.bag_no") < F.col("b.bag_no")))
     # The test of a's flag names b as well: as a filter of one side it would be pushed below the exchange, and the
     # signatures would be shuffled twice instead of once for both sides.
-    flagged = F.col("a.meta").bitwiseAND(F.lit(1)) + F.col("b.meta").bitwiseAND(F.lit(0)) == 1
-    differ = sum(F.bit_count(F.col(f"a.bits_{c}").bitwiseXOR(F.col(f"b.bits_{c}"))) for c in "ab")
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & flagged & smaller & (size_a * 100 >= size_b * t) & (differ * (100 + t) <= (size_a + size_b) * (100 - t)))
-    return _verified(pairs.select(F.least("a.bag_no", "b.bag_no").alias("low_no"), F.greatest("a.bag_no", "b.bag_no").alias("high_no")), bags, bags, t)
+    flagged = F.col("a.sig").bitwiseAND(F.lit(1)) + F.col("b.sig").bitwiseAND(F.lit(0)) == 1
+    pairs = a.join(b, _close("a", "b", t) & flagged & smaller)
+    return _verified(pairs.select(F.least("a.bag_no", "b.bag_no").alias("low_no"), F.greatest("a.bag_no", "b.bag_no").alias("high_no")), bags, t)
 
 
-def similar_across(bags: DataFrame, left: Column, right: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """(low_no, high_no): as similar_bags, of a bag for which left holds and another for which right holds, in this order.
+def candidates_across(bags: DataFrame, left: Column, right: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """(left_no, right_no): among others, all pairs of a bag for which left holds and another of its kind for which right
+    holds that agree by the threshold; they are still to be verified.
 
     Each side's signatures are shuffled once, and only bags of different sides are compared.
     """
     t = int(round(threshold * 100))
     levels, count = frequencies(bags), bags.count()
     a, b = (signatures(bags.filter(side), levels, count, threshold).alias(name) for side, name in ((left, "a"), (right, "b")))
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.bag_no") != F.col("b.bag_no")) & _close("a", "b", t))
-    return _verified(pairs.select(F.col("a.bag_no").alias("low_no"), F.col("b.bag_no").alias("high_no")), bags.filter(left), bags.filter(right), t)
+    flag = F.when(_size("a") < _size("b"), F.col("a.sig")).when(_size("b") < _size("a"), F.col("b.sig")).otherwise(F.col("a.sig").bitwiseOR(F.col("b.sig")))
+    pairs = a.join(b, _close("a", "b", t) & (F.col("a.bag_no") != F.col("b.bag_no")) & (flag.bitwiseAND(F.lit(1)) == 1))
+    return pairs.select(F.col("a.bag_no").alias("left_no"), F.col("b.bag_no").alias("right_no")).distinct()
 
 
 def members_and_bags(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, first_per_key, mix64, not_blank, spread
-from .near import THRESHOLD, similar_across
+from .near import THRESHOLD, candidates_across
 
 #: Words of a fingerprint, and fingerprints of a window: every common run of GRAM + WINDOW - 1 words shares one.
 GRAM, WINDOW = 4, 6
@@ -70,7 +70,7 @@ def winnow(h: np.ndarray, owner: np.ndarray, order: np.ndarray, window: int = WI
 
 
 def parity(seqs: list[np.ndarray]) -> np.ndarray:
-    """128 parity bits of each text's bag: bags that differ in d elements differ in at most d bits."""
+    """192 parity bits of each text's bag: bags that differ in d elements differ in at most d bits."""
     n = np.array([len(s) for s in seqs], np.int64)
     flat, owner = np.concatenate(seqs).view(np.uint32).astype(np.uint64), np.repeat(np.arange(len(seqs)), n)
     order = np.lexsort((flat, owner))
@@ -78,8 +78,8 @@ def parity(seqs: list[np.ndarray]) -> np.ndarray:
     at = np.arange(len(flat))
     start = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])]
     nth = (at - np.maximum.accumulate(np.where(start, at, 0))).astype(np.uint64)
-    bit = (mix64(flat + nth * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)).astype(np.int64)
-    odd = np.bincount(owner * 128 + bit, minlength=len(seqs) * 128).reshape(-1, 128) & 1
+    bit = (mix64(flat + nth * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(192)).astype(np.int64)
+    odd = np.bincount(owner * 192 + bit, minlength=len(seqs) * 192).reshape(-1, 192) & 1
     return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
@@ -191,7 +191,7 @@ def frequencies(texts: DataFrame) -> np.ndarray:
 def fingerprints(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     """(fp, text_no, size, bits..) of texts (text_no, kind, seq): the winnowed fingerprints, rare before frequent ones."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
-    names = ["fp", "text_no", "size", "bits_a", "bits_b"]
+    names = ["fp", "text_no", "size", "bits_a", "bits_b", "bits_c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -207,9 +207,9 @@ def fingerprints(texts: DataFrame, levels: np.ndarray) -> DataFrame:
                 own = pair[:, 0].astype(np.int64)
                 fp = mix64(pair[:, 1] + salts[own])
                 bits, n, no = parity(seqs), np.diff(ends).astype(np.int32), b.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(no[own]), pa.array(n[own]), *[pa.array(bits[own, c]) for c in range(2)]], names)
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(no[own]), pa.array(n[own]), *[pa.array(bits[own, c]) for c in range(3)]], names)
 
-    return texts.select("text_no", "kind", "seq").mapInArrow(run, "fp bigint, text_no bigint, size int, bits_a bigint, bits_b bigint")
+    return texts.select("text_no", "kind", "seq").mapInArrow(run, "fp bigint, text_no bigint, size int, bits_a bigint, bits_b bigint, bits_c bigint")
 
 
 def sequence_rows(df: DataFrame) -> DataFrame:
@@ -240,8 +240,8 @@ def _elements(seq: np.ndarray) -> np.ndarray:
 
 
 def exact_candidates(texts: DataFrame, threshold: float) -> DataFrame:
-    """(held_no, train_no) of all pairs across the splits whose bags agree by the threshold, whatever runs they share:
-    those that winnowing doesn't guarantee are among them. texts: (text_no, kind, seq, in_train, held_out)."""
+    """(held_no, train_no): among others, all pairs across the splits whose bags agree by the threshold, whatever runs they
+    share, so those that winnowing doesn't guarantee are there. texts: (text_no, kind, seq, in_train, held_out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,8 +252,7 @@ def exact_candidates(texts: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), array, *b.columns[3:]], ["bag_no", "kind", "bag", "in_train", "held_out"])
 
     bags = cut(texts.select(F.col("text_no").alias("bag_no"), "kind", "seq", "in_train", "held_out").mapInArrow(run, "bag_no bigint, kind string, bag array<int>, in_train boolean, held_out boolean"))
-    found = similar_across(bags, F.col("held_out"), F.col("in_train"), threshold)
-    return found.select(F.col("low_no").alias("held_no"), F.col("high_no").alias("train_no"))
+    return candidates_across(bags, F.col("held_out"), F.col("in_train"), threshold).toDF("held_no", "train_no")
 
 
 def cross_split(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -273,7 +272,7 @@ def cross_split(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = cut(last.join(texts.select("kind", "seq_id", "text_no"), ["kind", "seq_id"]).select("kind", "rec_id", "split", "source", "text_no"))
     levels = frequencies(texts)
     a, b = fingerprints(texts.filter("held_out"), levels).alias("a"), fingerprints(texts.filter("in_train"), levels).alias("b")
-    differ = sum(F.bit_count(F.col(f"a.bits_{c}").bitwiseXOR(F.col(f"b.bits_{c}"))) for c in "ab")
+    differ = sum(F.bit_count(F.col(f"a.bits_{c}").bitwiseXOR(F.col(f"b.bits_{c}"))) for c in "abc")
     both = F.col("a.size") + F.col("b.size")
     near = (F.least("a.size", "b.size") * 100 >= F.greatest("a.size", "b.size") * t) & (differ * (100 + t) <= both * (100 - t))
     pairs = a.join(b, (F.col("a.fp") == F.col("b.fp")) & (F.col("a.text_no") != F.col("b.text_no")) & near)
