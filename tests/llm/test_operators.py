@@ -141,7 +141,29 @@ def test_defects(spark):
         few = [dict(r, answer=a) if r["qa_id"] == i else r for r in rows]
         assert i not in {r.qa_id for r in defects.defect_labels(qa(spark, few)).collect()}
     labels = defects.defect_labels(qa(spark, rows)).collect()
-    assert all(r.posterior >= 0.5 for r in labels) and len({(r.qa_id, r.defect) for r in labels}) == len(labels)
+    assert all(r.posterior >= min(defects.TRIED) for r in labels) and len({(r.qa_id, r.defect) for r in labels}) == len(labels)
+
+
+def test_labelling_functions_are_separate_and_cutoffs_validated(spark):
+    rows, want = pairs_with_defects()
+    for i, a in enumerate(["The man in the clip says he cannot help with the drum.", "Please rephrase the request of the drum, or try another one.", "C. The loud dr", "Which of the two is heard first when the loud piano stops, near the river?", "Im Hintergrund rings the bell of Hintergrund."]):
+        rows.append(dict(rows[0], qa_id=5000 + i, answer=a, choices={"A": "The loud piano", "C": "The loud drum"}))
+    d = qa(spark, rows)
+    models = defects._models(d, 20_000)
+    records = [defects._record(r.get("question"), r.get("answer"), r.get("thinking"), r.get("choices")) for r in rows]
+    votes = defects.Voter(models).vote(records)
+    again = defects.Voter(models)
+    assert votes == [again.vote([r])[0] for r in records]  # whatever batch a record is in
+    for name, rules in defects.RULES.items():
+        columns = {tuple(v[name][k] for v in votes) for k in range(len(rules))}
+        assert len(columns) == len(rules), name
+    made = defects.planted(records[:200])
+    hit = {name: [v[name][0] > 0 or sum(v[name]) > 0 for v in again.vote(x)] for name, x in made.items()}
+    assert all(sum(hit[n]) >= 0.8 * len(hit[n]) for n in ("empty", "refusal", "copied_question", "truncated"))
+    posterior = {(n, defects.code(v[n])): 0.3 if sum(v[n]) > 0 else 0.05 for x in [votes, *map(again.vote, made.values())] for v in x for n in defects.RULES}
+    cutoffs = defects.validated_cutoffs(d, models, posterior)
+    assert cutoffs["empty"] == cutoffs["refusal"] == cutoffs["copied_question"] == 0.3 and set(cutoffs) == set(defects.CUTOFFS)
+    assert defects.validated_cutoffs(d.limit(0), models, {}) == defects.CUTOFFS
 
 
 def test_defects_of_null_long_and_no_records(spark):

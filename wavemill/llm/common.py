@@ -15,9 +15,13 @@ WORD = re.compile(r"[^\W_]+")
 M64 = (1 << 64) - 1
 
 
+#: ASCII characters as they stand in words: lower-cased, all but letters and digits as spaces.
+PLAIN = {i: chr(i).lower() if chr(i).isalnum() else " " for i in range(128)}
+
+
 def words(text: str) -> list[str]:
     """Lower-cased words of a text, in order."""
-    return [w.lower() for w in WORD.findall(text)]
+    return text.translate(PLAIN).split() if text.isascii() else [w.lower() for w in WORD.findall(text)]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

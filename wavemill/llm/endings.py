@@ -21,12 +21,15 @@ SIZE = 1 << 18
 SAMPLE = 20_000
 #: Bound of the sentences taken from it, and so many most frequent words stand for themselves in the shape of a sentence.
 SENTENCES, HEADS = 120_000, 120
+#: Longer texts aren't sampled, so that the sample has a bound in bytes; they are judged as all others.
+LONGEST = 20_000
 
 CJK = "぀-ヿ㐀-䶿一-鿿가-힯"
 TOKEN = re.compile(rf"[{CJK}]|[^\W_{CJK}]+(?:['’-][^\W_{CJK}]+)*|[,;:—–-]")
 BREAK = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])|\n+")
 MARKS, CLOSERS = set(".!?。！？…‥।؟"), set("\"'”’»)]}>』」）】*_`~")
 OPEN, SHUT = "([{（【「『", ")]}）】」』"
+OPENING = re.compile(r"[(\[{（【「『<]")
 
 
 def strip_end(text: str) -> str:
@@ -46,8 +49,17 @@ def finished(text: str) -> bool:
     return i > 0 and (t[i - 1] in MARKS)
 
 
+def last_token(text: str) -> tuple[str, bool]:
+    """The last token, and whether there is another before it."""
+    at = max(text.rfind(" "), text.rfind("\n")) + 1
+    found = TOKEN.findall(text, at) or TOKEN.findall(text)
+    return (found[-1], len(found) > 1 or TOKEN.search(text, 0, at) is not None) if found else ("", False)
+
+
 def open_at_end(text: str) -> bool:
     """An unclosed bracket on the last line, an unclosed tag, or unclosed braces of an object."""
+    if not OPENING.search(text):
+        return False
     t = text.rstrip()
     line = t.rsplit("\n", 1)[-1]
     depth: list[str] = []
@@ -79,10 +91,8 @@ def sentences(text: str) -> tuple[list[str], str]:
 
 def whole_words(text: str) -> list[str]:
     """Tokens of a text, without the last one if no final mark follows it: that may be a piece of a word."""
-    t = strip_end(text)
-    last = [p for p in BREAK.split(t[t.rfind("\n") + 1 :]) if p.strip()]  # a line end always ends a sentence
-    tokens = [x.lower() for x in TOKEN.findall(text)]
-    return tokens if last and finished(last[-1]) else tokens[:-1]
+    tokens = TOKEN.findall(text.lower()) if text.isascii() else [x.lower() for x in TOKEN.findall(text)]
+    return tokens if finished(text) else tokens[:-1]
 
 
 def bare(sentence: str) -> str:
@@ -110,11 +120,17 @@ class EndModel:
         """Buckets of how often the word was seen, and the most frequent longer word that begins with it."""
         return divmod(self.words.get(word), 4)
 
-    def features(self, sentence: str, whole_start: bool = True) -> list[int]:
-        tokens = [t.lower() for t in TOKEN.findall(sentence)]
+    @staticmethod
+    def may_be_open(text: str) -> bool:
+        """Holds an opening bracket or tag, which may be unclosed."""
+        return OPENING.search(text) is not None
+
+    def features(self, sentence: str, whole_start: bool = True, found: list[str] | None = None) -> list[int]:
+        found = TOKEN.findall(sentence) if found is None else found
+        tokens = [t.lower() for t in found]
         if not tokens:
             return [1]
-        last = TOKEN.findall(sentence)[-1]
+        last = found[-1]
         n, lower = len(tokens), tokens[-1]
         seen, longer = self.known(lower)
         kind = "A" if last[0].isupper() else "0" if last[0].isdigit() else "a" if last[0].isalpha() else last[0]
@@ -132,7 +148,7 @@ class EndModel:
         """Log-odds that the sentence, from which final marks are taken, is not complete."""
         tokens = TOKEN.findall(sentence)
         dangling = DANGLING_WEIGHT if len(tokens) > 2 and tokens[-1] in DANGLING else 0.0
-        return float(self.weights[self.features(sentence, whole_start)].sum()) + dangling
+        return float(self.weights[self.features(sentence, whole_start, tokens)].sum()) + dangling
 
     def judge(self, text: str) -> float:
         """Log-odds that the text stops before its end; the rules for marks and brackets come first."""
@@ -157,23 +173,23 @@ class EndModel:
         return self.score(last, len(last) < 400)
 
 
-def sample_texts(df, key: str, text: str, most: int = SAMPLE, longest: int = 20_000) -> list[str]:
-    """Different texts of at most so many code points, of about so many rows (never more), chosen by a hash of the key.
+def sample_texts(df, key: str, texts: list[str], most: int = SAMPLE) -> list[str]:
+    """Different texts, of at most LONGEST code points, of about so many rows (never more), chosen by a hash of the key.
 
-    Only the chosen rows leave their tasks; nothing is shuffled or sorted.
+    Only the chosen rows leave their tasks; nothing is shuffled or sorted, and one scan gives all columns.
     """
     from pyspark.sql import functions as F
 
     space = 1 << 30
     share = min(1.0, most / max(df.count(), 1))
     chosen = F.pmod(F.xxhash64(F.lit(3), key), F.lit(space)) < int(share * space)
-    short = df.filter(chosen & F.col(text).isNotNull() & (F.length(text) <= longest)).select(key, text)
-    return sorted({r[1] for r in short.collect()[:most]})
+    short = [F.when(F.length(t) <= LONGEST, F.col(t)).alias(t) for t in texts]
+    return sorted({x for r in df.filter(chosen).select(*short).collect()[:most] for x in r if x is not None})
 
 
 def corpus_words(texts) -> tuple[lexicon.Table, frozenset[str]]:
     """Words of all different texts of a DataFrame, which has one column, whole, and the most frequent of them."""
-    counts = lexicon.count_words(texts, lambda t: [("", whole_words(t))])
+    counts = lexicon.count_words(texts, lambda batch: (("", whole_words(t)) for t in batch))
     return lexicon.known_table(counts), frozenset(lexicon.most_frequent(counts, HEADS))
 
 

@@ -23,6 +23,7 @@ from ..session import cut, scratch
 #: Counts that a task holds before it passes them on, and words that a worker remembers.
 HELD, CACHED = 200_000, 1 << 16
 MASK = (1 << 55) - 1
+SLICE = 1024
 
 
 def word_key(word: str) -> int:
@@ -122,8 +123,8 @@ def save(values: DataFrame) -> Table:
     return Table(folder, parts)
 
 
-def count_words(texts: DataFrame, tally: Callable[[str], Iterator[tuple[str, list[str]]]]) -> DataFrame:
-    """(list, word, n) over all different texts of the first column; tally gives lists of words of a text, each with its name."""
+def count_words(texts: DataFrame, tally: Callable[[list[str]], Iterator[tuple[str, list[str]]]]) -> DataFrame:
+    """(list, word, n) over all different texts of the first column; tally gives lists of words of texts, each with its name."""
     column = texts.columns[0]
     different = texts.filter(F.col(column).isNotNull()).distinct()
 
@@ -135,10 +136,12 @@ def count_words(texts: DataFrame, tally: Callable[[str], Iterator[tuple[str, lis
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["list", "word", "n"])
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for name, words in tally(t):
+        for big in batches:
+            for at in range(0, big.num_rows, SLICE):
+                for name, words in tally(big.column(0).slice(at, SLICE).to_pylist()):
                     held.setdefault(name, Counter()).update(words)
+                    if len(words) > HELD:
+                        yield out()
                 if sum(map(len, held.values())) > HELD:
                     yield out()
         yield out()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, first_per_key, mix64, not_blank, spread
+from .common import cut, first_per_key, mix64, not_blank, spread, words
 from .components import components
 
 THRESHOLD = 0.7
@@ -55,7 +55,7 @@ class Bags:
         self.seen: dict[str, int] = {}
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [WORD.findall(t.lower()) if t.isascii() else [w.lower() for w in WORD.findall(t)] for t in texts]
+        parts = [words(t) for t in texts]
         if len(self.seen) > 500_000:
             self.seen.clear()
         for w in {w for p in parts for w in p} - self.seen.keys():

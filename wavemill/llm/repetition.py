@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, first_per_key, mix64, spread
+from .common import cut, first_per_key, mix64, spread, words
 from .labelmodel import posteriors
 
 RUN = 5
@@ -32,7 +32,7 @@ class Runs:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words that aren't digits only, and the text each belongs to."""
-        parts = [WORD.findall(t.lower()) if t.isascii() else [w.lower() for w in WORD.findall(t)] for t in texts]
+        parts = [words(t) for t in texts]
         if len(self.seen) > 500_000:
             self.seen.clear()
         for w in {w for p in parts for w in p} - self.seen.keys():

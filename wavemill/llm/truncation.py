@@ -78,7 +78,7 @@ def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     is a limit of its source, else 0. Of rows with one key the last loaded counts. Texts are judged where they are read.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(sample_texts(docs, key, text, sample), words=corpus_words(docs.select(text))))
+    model = spark.sparkContext.broadcast(fit(sample_texts(docs, key, [text], sample), words=corpus_words(docs.select(text))))
     kind = docs.schema[key].dataType.simpleString()
     names = [key, source, "loaded_at", "n_chars", "n_bytes", "evidence"]
 
