@@ -15,8 +15,9 @@ from .common import cut, first_per_key, spread
 
 #: Dimensions of a document's hashed word vector, of its projection, and bits of each projected coordinate.
 BUCKETS, DIMS, BITS = 1024, 4, 8
-#: Items that are placed together, longest first.
-WINDOW = 1 << 15
+#: Neighbours on the curve that are placed together, longest first, and how many items further along the curve a sequence
+#: stays open after its first.
+WINDOW, REACH = 512, 1024
 SLICE = 1024
 
 
@@ -90,28 +91,36 @@ def qa_items(qa: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, file: str = FILE
 
 
 class Filler:
-    """Best fit over open containers of one capacity. Free room is found with a bit mask of the room sizes on offer."""
+    """Best fit over open containers of one capacity. Free room is found with a bit mask of the room sizes on offer.
 
-    def __init__(self, capacity: int, base: int):
-        self.capacity, self.base, self.count = capacity, base, 0
-        self.open: dict[int, list[int]] = {}
+    A container closes once the front, the place on the curve of what is filled in, is further than reach from its first
+    item; closed ones are found out and dropped when they are offered.
+    """
+
+    def __init__(self, capacity: int, base: int, reach: int = REACH):
+        self.capacity, self.base, self.reach, self.count, self.front = capacity, base, reach, 0, 0
+        self.open: dict[int, list[tuple[int, int]]] = {}
         self.mask = 0
 
     def place(self, length: int) -> tuple[int, int]:
         """Container and offset of a piece no longer than the capacity."""
-        fit = self.mask >> length
-        if fit:
+        fit, room, box, born = self.mask >> length, self.capacity, -1, self.front
+        while fit:
             room = length + (fit & -fit).bit_length() - 1
             stack = self.open[room]
-            box = stack.pop()
+            box, born = stack.pop()
             if not stack:
                 self.mask &= ~(1 << room)
-        else:
-            room, box = self.capacity, self.base + self.count
+                del self.open[room]
+            if self.front - born <= self.reach:
+                break
+            fit, room, box, born = self.mask >> length, self.capacity, -1, self.front
+        if box < 0:
+            box = self.base + self.count
             self.count += 1
         left = room - length
         if left:
-            self.open.setdefault(left, []).append(box)
+            self.open.setdefault(left, []).append((box, born))
             self.mask |= 1 << left
         return box, self.capacity - room
 
@@ -120,48 +129,49 @@ OUT = "limit_id int, sequence_id bigint, item_id bigint, piece int, item_start b
 
 
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fills sequences with items (limit_id, capacity, item_id, length) that come in the order of the curve."""
     from pyspark import TaskContext
 
     base = TaskContext.get().partitionId() << 36
     fillers: dict[int, Filler] = {}
     names = [c.split()[0] for c in OUT.split(", ")]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    held: list[tuple[np.ndarray, ...]] = []
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def window(limit: np.ndarray, capacity: np.ndarray, item: np.ndarray, length: np.ndarray) -> Iterator[tuple]:
         nonlocal base
-        if not held:
-            return
-        limit, capacity, item, length = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        for one in np.unique(limit):
+        for one in np.unique(limit).tolist():
             of = np.flatnonzero(limit == one)
             cap = int(capacity[of[0]])
-            filler = fillers.get(int(one))
+            filler = fillers.get(one)
             if filler is None:
-                filler = fillers[int(one)] = Filler(cap, base)
+                filler = fillers[one] = Filler(cap, base)
                 base += 1 << 32
             full, rest = length[of] // cap, length[of] % cap
-            rows: list[tuple[int, int, int, int, int, int]] = []
             for i, k in zip(of[full > 0].tolist(), full[full > 0].tolist()):  # only what exceeds the capacity is cut
-                rows += [(*filler.place(cap), int(item[i]), p, p * cap, cap) for p in range(k)]
+                yield from ((one, *filler.place(cap), int(item[i]), p, p * cap, cap) for p in range(k))
             for j in np.argsort(-rest, kind="stable").tolist():
                 if r := int(rest[j]):
                     k = int(full[j])
-                    rows.append((*filler.place(r), int(item[of[j]]), k, k * cap, r))
-            if rows:
-                box, offset, ids, piece, start, size = zip(*rows)
-                cols = [[int(one)] * len(rows), box, ids, piece, start, size, offset]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+                    yield (one, *filler.place(r), int(item[of[j]]), k, k * cap, r)
+            filler.front += len(of)
 
-    waiting = 0
+    held: list[tuple[np.ndarray, ...]] = []
     for b in batches:
         held.append(tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(4)))
-        waiting += b.num_rows
-        if waiting >= WINDOW:
-            yield from flush()
-            waiting = 0
-    yield from flush()
+        if sum(len(h[0]) for h in held) >= WINDOW:
+            columns = [np.concatenate(x) for x in zip(*held)]
+            whole = len(columns[0]) // WINDOW * WINDOW
+            for at in range(0, whole, WINDOW):
+                yield from _pieces(list(window(*(c[at : at + WINDOW] for c in columns))), names, types)
+            held = [tuple(c[whole:] for c in columns)]
+    if held:
+        yield from _pieces(list(window(*(np.concatenate(x) for x in zip(*held)))), names, types)
+
+
+def _pieces(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        limit, box, offset, item, piece, start, size = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((limit, box, item, piece, start, size, offset), types)], names)
 
 
 def pack(items: DataFrame, limits: DataFrame) -> DataFrame:
@@ -169,9 +179,9 @@ def pack(items: DataFrame, limits: DataFrame) -> DataFrame:
 
     One row per piece: limit, sequence, item, number of the piece, its start in the item, its length, its place in
     the sequence. An item is cut only if longer than the capacity, into full pieces and one rest. Items are range-sorted
-    by curve key, so a task holds one stretch of the curve and fills its own sequences from neighbours, best fit with
-    the longest of a window first; sequences stay open over the windows of a task, and each task ends with few that are
-    partly filled. Limits with a null or non-positive capacity or an unknown unit take nothing; items of null length
+    by curve key, so a task holds one stretch of the curve and fills its own sequences from neighbours: best fit, the
+    longest of a window of WINDOW items first. A sequence closes REACH items behind the front, so that what shares one
+    lies close on the curve; each task ends with few that are partly filled. Limits with a null or non-positive capacity or an unknown unit take nothing; items of null length
     are none, of length 0 need no room and get no row. Equal lengths and keys are ordered by id.
     """
     spark = items.sparkSession
