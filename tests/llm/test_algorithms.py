@@ -76,15 +76,26 @@ def test_permutation(size):
 
 
 def test_mixture_plan_keeps_caps_and_shares():
-    have = {"a": (100_000, 200), "b": (1_000, 4), "c": (0, 0)}
-    rows = mixing.draw_plan(have, [("a", 0.5, 1), ("b", 0.2, 3), ("c", 0.3, 1)], 1000)
-    slots = Counter()
-    for _, s, first, n, blocks in rows:
-        assert first == slots[s]
-        slots[s] += n
-    assert slots["a"] <= 200 and slots["b"] == 12 and "c" not in slots
-    assert abs(slots["a"] * 500 / (slots["a"] * 500 + slots["b"] * 250) - 5 / 7) < 0.02
+    have = {"a": (100_000, 200), "b": (1_000, 2), "c": (0, 0)}
+    rows = mixing.draw_plan(have, [("a", 0.5, 1), ("b", 0.2, 3), ("c", 0.3, 1)], 500, 1000)
+    slots, shards = Counter(), 0
+    for _, shard, n, source, first, drawn, _ in rows:
+        assert shard == shards and all(f == slots[s] for s, f in zip(source, first))
+        shards += n
+        slots.update(dict(zip(source, drawn)))
+    assert dict(slots) == {"a": 15, "b": 6} and shards == 11
     assert mixing.draw_plan({}, [("a", 1.0, 1)]) == []
+    big = mixing.draw_plan({"a": (10**13, 2 * 10**10), "b": (10**13, 2 * 10**10)}, [("a", 0.5, 1), ("b", 0.5, 1)], 500, 10_000)
+    assert len(big) == mixing.BUNDLES and sum(sum(r[5]) for r in big) == 4 * 10**10 and sum(r[2] for r in big) == 2 * 10**9
+
+
+def test_anchors_keep_their_accuracy_and_others_are_measured_by_them():
+    rng = np.random.default_rng(1)
+    case = rng.random(5000) < 0.1
+    noisy = np.where(rng.random(5000) < 0.2, ~case, case)
+    votes, counts = np.unique(np.where(np.stack([case, noisy, noisy], 1), 1, -1), axis=0, return_counts=True)
+    post, accuracy = labelmodel.fit(votes, counts, anchors={0: 1 - 1e-9})
+    assert ((post >= 0.5) == (votes[:, 0] > 0)).all() and abs(accuracy[0, 1] - 0.8) < 0.05 and abs(accuracy[1, 1] - 0.8) < 0.05
 
 
 def test_label_model_finds_the_better_rule():

@@ -96,6 +96,30 @@ def test_packing(spark):
     assert packing.pack_qa(qa(spark, rows), limits(spark, (9, "bytes", 1))).count() == 0
 
 
+def test_what_shares_a_sequence_lies_close_on_the_curve(spark):
+    """Mean distance to the middle of a sequence, in ranks along the curve, against the same items shuffled."""
+    import random
+
+    rng = random.Random(6)
+    items = spark.createDataFrame([(i, 1 + int(rng.expovariate(1 / 300)), 1, i * 13) for i in range(30_000)], "item_id bigint, chars bigint, tokens bigint, curve_key bigint")
+    boxes = defaultdict(list)
+    placed = packing.pack(items, limits(spark, (1, "chars", 1024))).collect()
+    for r in placed:
+        boxes[r.sequence_id].append(r.item_id)
+
+    def distance(groups):
+        of = [abs(i - sum(g) / len(g)) for g in groups if len(g) > 1 for i in g]
+        return sum(of) / len(of)
+
+    ranks = [i for g in boxes.values() for i in g]
+    rng.shuffle(ranks)
+    turn = iter(ranks)
+    shuffled = [[next(turn) for _ in g] for g in boxes.values()]
+    assert distance(boxes.values()) * 5 <= distance(shuffled)
+    assert max(max(g) - min(g) for g in boxes.values()) <= packing.REACH + packing.WINDOW
+    assert sum(r.length for r in placed) / (1024 * len(boxes)) > 0.97
+
+
 @needs_data
 def test_packing_of_the_test_data_leaves_little_room(spark):
     r = {x.limit_id: x.fill_share for x in queries.p1_fill(spark, DATA).collect()}
@@ -219,6 +243,12 @@ def test_repetition(spark):
     got = {r.qa_id: r for r in repetition.repetition(qa(spark, rows), ["qa_id"]).collect()}
     assert {i: got[i].repeated_share for i in got} == pytest.approx({i: brute_share(t) for i, t in enumerate(texts)})
     assert {r.qa_id for r in repetition.repetitive(repetition.repetition(qa(spark, rows), ["qa_id"])).collect()} == {4, 5}
+    fresh = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    block = fresh(0, 90)
+    mixed = [dict(qa_id=i, thinking=fresh(i, 60), loaded_at=T0) for i in range(1, 300)] + [dict(qa_id=900 + i, thinking="The bell rings in the yard. " * 9, loaded_at=T0) for i in range(20)]
+    mixed += [dict(qa_id=2000, thinking=f"{block} {fresh(400, 30)} {block}", loaded_at=T0)]  # one long block, and nothing else, repeated
+    found = {r.qa_id for r in repetition.repetitive(repetition.repetition(qa(spark, mixed), ["qa_id"])).collect()}
+    assert found == {2000, *range(900, 920)}
     assert repetition.repetition(qa(spark, rows).limit(0), ["qa_id"]).count() == 0
 
 
@@ -388,15 +418,44 @@ def test_mixture(spark):
     target = spark.createDataFrame([("big", 0.5, 1), ("small", 0.2, 3), ("absent", 0.3, 2), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
     m = mixing.mix(docs(spark, rows), target, block_tokens=64, shard_tokens=500)
     got = m.collect()
-    uses = Counter(r.doc_id for r in got)
+    uses, room = Counter((r.doc_id, r.start) for r in got), Counter()
     assert {r.source for r in got} == {"big", "small"}
-    assert max(n for i, n in uses.items() if i < 1000 or i > 2000) == 1 and max(uses[i] for i in range(1000, 1020)) == 3 and not uses[2002] and not uses[2003]
+    assert max(n for (i, _), n in uses.items() if i < 1000 or i > 2000) == 1 and max(n for (i, _), n in uses.items() if 1000 <= i < 1020) == 3 and not {2002, 2003} & {i for i, _ in uses}
+    for r in got:
+        room[r.source, r.slot] += r.n_tokens
+    assert max(room.values()) == 64 and sum(n < 64 for n in room.values()) <= 4  # only a source's last block isn't full
     report = {r.source: r for r in mixing.share_report(m, target.filter("source is not null")).collect()}
     assert report["absent"].share_reached == 0 and report["small"].most_uses == 3
-    assert [tuple(r) for r in m.orderBy("shard", "source", "slot", "doc_id").collect()] == [tuple(r) for r in mixing.mix(docs(spark, rows), target, block_tokens=64, shard_tokens=500).orderBy("shard", "source", "slot", "doc_id").collect()]
+    assert [tuple(r) for r in m.orderBy("shard", "source", "slot", "doc_id", "start").collect()] == [tuple(r) for r in mixing.mix(docs(spark, rows), target, block_tokens=64, shard_tokens=500).orderBy("shard", "source", "slot", "doc_id", "start").collect()]
     assert mixing.mix(docs(spark, rows).limit(0), target).count() == 0 and mixing.mix(docs(spark, rows), target.limit(0)).count() == 0
 
 
+def test_blocks_are_cut_from_records_laid_end_to_end(spark):
+    rows = [(i, f"s{i % 3}", 1 + i * 7 % 50) for i in range(900)] + [(5000, "s0", 12_345)]
+    pieces = mixing.blocks_of(spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint"), 64).collect()
+    per, of = defaultdict(int), defaultdict(list)
+    for r in pieces:
+        per[r.source, r.block] += r.n_tokens
+        of[r.doc_id].append((r.start, r.n_tokens))
+    for i, _, n in rows:
+        at = 0
+        for start, k in sorted(of[i]):
+            assert start == at and k > 0
+            at += k
+        assert at == n
+    for s in ("s0", "s1", "s2"):
+        total, last = sum(n for _, x, n in rows if x == s), max(b for x, b in per if x == s)
+        assert last == (total - 1) // 64 and all(per[s, b] == 64 for b in range(last)) and per[s, last] == total - 64 * last
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_mixture_of_the_test_data_reaches_its_shares(spark):
+    got = queries.p8_shares(spark, "/root/testdata/sf0.01").collect()
+    present = [r for r in got if r.tokens]
+    whole, blocks = sum(r.target_share for r in present), sum(r.tokens for r in present) / mixing.BLOCK_TOKENS
+    assert present and all(abs(r.share_reached - r.target_share / whole) <= 2 / blocks for r in present), got
+
+
 @needs_data
 def test_mixture_of_the_test_data_keeps_its_caps(spark):
     target = spark.read.parquet(f"{DATA}/mix_targets.parquet")
