@@ -139,9 +139,9 @@ def q09_outer_then_not_null(spark, sf):
 
 
 @query("""
-select user_id, count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'view') as view, count(*) filter (event_type = 'error') as error from events group by 1""")
+select user_id, count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'view') as view, count(*) filter (event_type = 'error') as error, count(*) filter (event_type = 'signup') as signup, count(*) filter (event_type = 'purchase') as purchase from events group by 1""")
 def q10_pivot(spark, sf):
-    kinds = ["click", "view", "error"]
+    kinds = ["click", "view", "error", "signup", "purchase"]
     p = load(spark, sf, "events").groupBy("user_id").pivot("event_type", kinds).count()
     return p.select("user_id", *[F.coalesce(c(k), F.lit(0)).alias(k) for k in kinds])
 
@@ -268,9 +268,9 @@ def q23_map_by_period(spark, sf):
 # --- nested data and prompts -------------------------------------------------------------------------------------------
 
 
-@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events where event_type = 'click'")
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 def q24_nested_json(spark, sf):
-    return load(spark, sf, "events").filter("event_type = 'click'").select("event_id", F.from_json("props", "k bigint").k.alias("k"))
+    return load(spark, sf, "events").select("event_id", F.from_json("props", "k bigint").k.alias("k"))
 
 
 LAST_QA = "(select * from (select *, row_number() over (partition by qa_id order by loaded_at desc) as rn from generated_qa) where rn = 1)"
@@ -375,11 +375,11 @@ def q34_grouped_accuracy(spark, sf):
 
 
 @query(r"""
-with t as (select coalesce(lang, 'none') as lang, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents where source = 'judge_reply' and text is not null),
+with t as (select coalesce(lang, 'none') as lang, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents where text is not null),
 s as (select lang, try_cast(w[len(w)] as double) as v from t)
 select lang, round(avg(coalesce(v, 0)) * 20, 6) as judge_score, round(avg((v is not null)::int), 6) as success_rate, count(*) as rows from s group by 1""")
 def q35_judge_scores(spark, sf):
-    d = load(spark, sf, "documents").filter("source = 'judge_reply' and text is not null").withColumn("lang", F.coalesce("lang", F.lit("none")))
+    d = load(spark, sf, "documents").filter("text is not null").withColumn("lang", F.coalesce("lang", F.lit("none")))
     s = M.judge_scores(d, T.last_number(c("text")), T.has_number(c("text")), 20.0, ["lang"])
     return s.select("lang", F.round("judge_score", 6).alias("judge_score"), F.round("success_rate", 6).alias("success_rate"), "rows")
 
@@ -663,12 +663,12 @@ def q63_text_scores(spark, sf):
 
 @query()
 def q64_corpus_bleu(spark, sf):
-    return S.corpus_bleu(_spoken(spark, sf), "heard", "reference").select("bleu", "prediction_length", "reference_length")
+    return S.corpus_bleu(_spoken(spark, sf), "heard", "reference").select(F.round("bleu", 9).alias("bleu"), "prediction_length", "reference_length")
 
 
 @query()
 def q65_transcripts(spark, sf):
-    d = spread(load(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id").filter("source = 'asr_transcript'")
+    d = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return d.select("doc_id", N.udf(N.asr)("text").alias("asr"), N.udf(N.asr_chinese)("text").alias("asr_zh"), N.vietnamese(c("text")).alias("letters"))
 
 
@@ -727,15 +727,6 @@ def q72_file_offsets(spark, sf):
     return W.file_offsets(W.shard_sizes(load(spark, sf, "tar_mp4_mapping"), ["tar_file"]).withColumnRenamed("rows", "n"), "tar_file", "n")
 
 
-@query("""
-with n as (select distinct l_orderkey as k from lineitem where l_suppkey = 7), g as (select k, k - row_number() over (order by k) as i, length(lpad(k::varchar, 6, '0')) as w from n)
-select case when min(k) = max(k) then 'p-' || lpad(min(k)::varchar, 6, '0') || '.tar' else 'p-{' || lpad(min(k)::varchar, 6, '0') || '..' || lpad(max(k)::varchar, 6, '0') || '}.tar' end as pattern, count(*) as n from g group by i""")
-def q73_shard_patterns(spark, sf):
-    """Of one supplier; q77_shard_patterns_all has all of them."""
-    names = load(spark, sf, "lineitem").filter("l_suppkey = 7").select(F.concat(F.lit("p-"), F.lpad(c("l_orderkey").cast("string"), 6, "0"), F.lit(".tar")).alias("name"))
-    return W.shard_patterns(names)
-
-
 @query(r"""
 select count(*) as lines, count(distinct video_id) as files, count(*) filter (regexp_matches(text, '[\[{(]') and regexp_matches(text, '[\]})]')) as bracketed from sdh_captions""")
 def q74_counters(spark, sf):
@@ -765,7 +756,7 @@ with n as (select distinct l_suppkey as s, l_orderkey as k, greatest(length(l_or
 g as (select s, w, k, k - row_number() over (partition by s, w order by k) as i from n), r as (select s, w, lpad(min(k)::varchar, w::int, '0') as a, lpad(max(k)::varchar, w::int, '0') as b, count(*) as n from g group by s, w, i)
 select 'p' || s::varchar || '-' || case when a = b then a else '{' || a || '..' || b || '}' end || '.tar' as pattern, n from r""")
 def q77_shard_patterns_all(spark, sf):
-    """All rows: the supplier is part of a name's prefix, and numbers of more than six digits keep all of them."""
+    """The supplier is part of a name's prefix, and numbers of more than six digits keep all of them."""
     number = c("l_orderkey").cast("string")
     names = load(spark, sf, "lineitem").select(F.concat(F.lit("p"), c("l_suppkey").cast("string"), F.lit("-"), F.lpad(number, F.greatest(F.length(number), F.lit(6)), F.lit("0")), F.lit(".tar")).alias("name"))
     return W.shard_patterns(names)

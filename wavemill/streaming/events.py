@@ -56,7 +56,8 @@ def smoothed_state(df: DataFrame, key: str, order: str, value: str, keep: float
             for o, v in sorted(zip(b[order], b[value])):
                 last = v if last is None else keep * last + (1 - keep) * v
                 rows.append((k[0], o, last))
-            yield pd.DataFrame(rows, columns=[key, order, "smoothed"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, order, "smoothed"])
         if last is not None:
             state.update((float(last),))
 
