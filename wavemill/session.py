@@ -67,4 +67,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and reads it back: later uses neither recompute nor depend on live executors."""
     path = f"{scratch(df.sparkSession, 'table')}/rows"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Deletes a table of cut once all that was made of it is written as well: nothing may read it any more."""
+    spark = written.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(written._written)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
