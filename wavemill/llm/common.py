@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, spread  # noqa: F401
+from ..session import cut, discard, spread  # noqa: F401
 
 #: A word is a maximal run of letters and digits.
 WORD = re.compile(r"[^\W_]+")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, first_per_key, mix64, not_blank, spread, words
+from .common import cut, discard, first_per_key, mix64, not_blank, spread, words
 from .components import components
 
 THRESHOLD = 0.7
@@ -334,6 +334,7 @@ def members_and_bags(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     bags = cut(rows.groupBy("kind", "bag_id").agg(F.first("bag").alias("bag")).withColumn("bag_no", F.monotonically_increasing_id()))
     last = first_per_key(rows, ["kind", "rec_id"], ["split", "bag_id"], "loaded_at")
     members = cut(last.join(bags.select("kind", "bag_id", "bag_no"), ["kind", "bag_id"]).select("kind", "rec_id", "split", "bag_no"))
+    discard(rows)
     return members, bags.select("bag_no", "kind", "bag")
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, first_per_key, mix64, not_blank, spread, words
+from .common import cut, discard, first_per_key, mix64, not_blank, spread, words
 from .near import THRESHOLD, candidates_across
 
 #: Words of a fingerprint, and fingerprints of a window: every common run of GRAM + WINDOW - 1 words shares one.
@@ -270,6 +270,7 @@ def cross_split(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = cut(rows.groupBy("kind", "seq_id").agg(F.first("seq").alias("seq"), F.max(F.col("split") == TRAIN).alias("in_train"), F.max(F.col("split") != TRAIN).alias("held_out")).withColumn("text_no", F.monotonically_increasing_id()))
     last = first_per_key(rows, ["kind", "rec_id"], ["split", "source", "seq_id"], "loaded_at")
     members = cut(last.join(texts.select("kind", "seq_id", "text_no"), ["kind", "seq_id"]).select("kind", "rec_id", "split", "source", "text_no"))
+    discard(rows)
     levels = frequencies(texts)
     a, b = fingerprints(texts.filter("held_out"), levels).alias("a"), fingerprints(texts.filter("in_train"), levels).alias("b")
     differ = sum(F.bit_count(F.col(f"a.bits_{c}").bitwiseXOR(F.col(f"b.bits_{c}"))) for c in "abc")
