@@ -276,13 +276,15 @@ def _size(row: str) -> Column:
     return F.shiftright(F.col(f"{row}.sig").bitwiseAND(F.lit(META)), 1)
 
 
-def _close(a: str, b: str, t: int) -> Column:
-    """What signature rows a and b of a pair over the threshold must satisfy: the same signature, sizes near enough, and no
-    more parity bits that differ than elements may."""
-    small, large = F.least(_size(a), _size(b)), F.greatest(_size(a), _size(b))
+def _same(a: str, b: str) -> Column:
+    return F.shiftright(f"{a}.sig", 24) == F.shiftright(f"{b}.sig", 24)
+
+
+def _close(a: str, b: str, small: Column, large: Column, t: int) -> Column:
+    """What signature rows a and b of a pair over the threshold must satisfy: no more parity bits differ than elements may,
+    and sizes are near enough. A size that stands for all from LARGEST on rejects no pair over the threshold."""
     differ = sum(F.bit_count(F.col(f"{a}.bits_{c}").bitwiseXOR(F.col(f"{b}.bits_{c}"))) for c in "abc")
-    fits = (small * 100 >= large * t) & (differ * (100 + t) <= (small + large) * (100 - t))
-    return (F.shiftright(f"{a}.sig", 24) == F.shiftright(f"{b}.sig", 24)) & (fits | (large == LARGEST))
+    return (differ * (100 + t) <= (small + large) * (100 - t)) & (small * 100 >= large * t)
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, t: int) -> DataFrame:
@@ -307,21 +309,22 @@ def similar_bags(bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # The test of a's flag names b as well: as a filter of one side it would be pushed below the exchange, and the
     # signatures would be shuffled twice instead of once for both sides.
     flagged = F.col("a.sig").bitwiseAND(F.lit(1)) + F.col("b.sig").bitwiseAND(F.lit(0)) == 1
-    pairs = a.join(b, _close("a", "b", t) & flagged & smaller)
+    pairs = a.join(b, _same("a", "b") & flagged & smaller & _close("a", "b", _size("a"), _size("b"), t))
     return _verified(pairs.select(F.least("a.bag_no", "b.bag_no").alias("low_no"), F.greatest("a.bag_no", "b.bag_no").alias("high_no")), bags, t)
 
 
-def candidates_across(bags: DataFrame, left: Column, right: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """(left_no, right_no): among others, all pairs of a bag for which left holds and another of its kind for which right
-    holds that agree by the threshold; they are still to be verified.
+def candidates_across(bags: DataFrame, left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(left_no, right_no): among others, all pairs of a bag of left and another of its kind of right that agree by the
+    threshold; they are still to be verified. bags holds all of both.
 
     Each side's signatures are shuffled once, and only bags of different sides are compared.
     """
     t = int(round(threshold * 100))
     levels, count = frequencies(bags), bags.count()
-    a, b = (signatures(bags.filter(side), levels, count, threshold).alias(name) for side, name in ((left, "a"), (right, "b")))
+    a, b = (signatures(side, levels, count, threshold).alias(name) for side, name in ((left, "a"), (right, "b")))
     flag = F.when(_size("a") < _size("b"), F.col("a.sig")).when(_size("b") < _size("a"), F.col("b.sig")).otherwise(F.col("a.sig").bitwiseOR(F.col("b.sig")))
-    pairs = a.join(b, _close("a", "b", t) & (F.col("a.bag_no") != F.col("b.bag_no")) & (flag.bitwiseAND(F.lit(1)) == 1))
+    small, large = F.least(_size("a"), _size("b")), F.greatest(_size("a"), _size("b"))
+    pairs = a.join(b, _same("a", "b") & _close("a", "b", small, large, t) & (flag.bitwiseAND(F.lit(1)) == 1) & (F.col("a.bag_no") != F.col("b.bag_no")))
     return pairs.select(F.col("a.bag_no").alias("left_no"), F.col("b.bag_no").alias("right_no")).distinct()
 
 

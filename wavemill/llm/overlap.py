@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard, first_per_key, mix64, not_blank, spread, words
-from .near import THRESHOLD, candidates_across
+from .near import META, THRESHOLD, candidates_across
 
 #: Words of a fingerprint, and fingerprints of a window: every common run of GRAM + WINDOW - 1 words shares one.
 GRAM, WINDOW = 4, 6
@@ -189,9 +189,10 @@ def frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def fingerprints(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(fp, text_no, size, bits..) of texts (text_no, kind, seq): the winnowed fingerprints, rare before frequent ones."""
+    """(fp, text_no, bits..) of texts (text_no, kind, seq): the winnowed fingerprints, rare before frequent ones, with the
+    size of the text in their last 24 bits."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
-    names = ["fp", "text_no", "size", "bits_a", "bits_b", "bits_c"]
+    names = ["fp", "text_no", "bits_a", "bits_b", "bits_c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -207,9 +208,10 @@ def fingerprints(texts: DataFrame, levels: np.ndarray) -> DataFrame:
                 own = pair[:, 0].astype(np.int64)
                 fp = mix64(pair[:, 1] + salts[own])
                 bits, n, no = parity(seqs), np.diff(ends).astype(np.int32), b.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(no[own]), pa.array(n[own]), *[pa.array(bits[own, c]) for c in range(3)]], names)
+                packed = (fp & ~np.uint64(META)) | np.minimum(n[own], META).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(no[own]), *[pa.array(bits[own, c]) for c in range(3)]], names)
 
-    return texts.select("text_no", "kind", "seq").mapInArrow(run, "fp bigint, text_no bigint, size int, bits_a bigint, bits_b bigint, bits_c bigint")
+    return texts.select("text_no", "kind", "seq").mapInArrow(run, "fp bigint, text_no bigint, bits_a bigint, bits_b bigint, bits_c bigint")
 
 
 def sequence_rows(df: DataFrame) -> DataFrame:
@@ -249,10 +251,11 @@ def exact_candidates(texts: DataFrame, threshold: float) -> DataFrame:
                 lists = b.column(2)
                 bags = [_elements(x) for x in np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1])]
                 array = pa.ListArray.from_arrays(lists.offsets, pa.array(np.concatenate(bags)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), array, *b.columns[3:]], ["bag_no", "kind", "bag", "in_train", "held_out"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), array], ["bag_no", "kind", "bag"])
 
-    bags = cut(texts.select(F.col("text_no").alias("bag_no"), "kind", "seq", "in_train", "held_out").mapInArrow(run, "bag_no bigint, kind string, bag array<int>, in_train boolean, held_out boolean"))
-    return candidates_across(bags, F.col("held_out"), F.col("in_train"), threshold).toDF("held_no", "train_no")
+    schema = "bag_no bigint, kind string, bag array<int>"
+    bags = lambda some: some.select(F.col("text_no").alias("bag_no"), "kind", "seq").mapInArrow(run, schema)
+    return candidates_across(*(bags(texts.filter(side) if side else texts) for side in (None, "held_out", "in_train")), threshold).toDF("held_no", "train_no")
 
 
 def cross_split(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -274,9 +277,9 @@ def cross_split(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     levels = frequencies(texts)
     a, b = fingerprints(texts.filter("held_out"), levels).alias("a"), fingerprints(texts.filter("in_train"), levels).alias("b")
     differ = sum(F.bit_count(F.col(f"a.bits_{c}").bitwiseXOR(F.col(f"b.bits_{c}"))) for c in "abc")
-    both = F.col("a.size") + F.col("b.size")
-    near = (F.least("a.size", "b.size") * 100 >= F.greatest("a.size", "b.size") * t) & (differ * (100 + t) <= both * (100 - t))
-    pairs = a.join(b, (F.col("a.fp") == F.col("b.fp")) & (F.col("a.text_no") != F.col("b.text_no")) & near)
+    size_a, size_b = F.col("a.fp").bitwiseAND(F.lit(META)), F.col("b.fp").bitwiseAND(F.lit(META))
+    near = (differ * (100 + t) <= (size_a + size_b) * (100 - t)) & (F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * t)
+    pairs = a.join(b, (F.shiftright("a.fp", 24) == F.shiftright("b.fp", 24)) & (F.col("a.text_no") != F.col("b.text_no")) & near)
     pairs = pairs.select(F.col("a.text_no").alias("held_no"), F.col("b.text_no").alias("train_no"))
     pairs = pairs.unionByName(exact_candidates(texts, threshold)).distinct()
     full = pairs.join(texts.select(F.col("text_no").alias("held_no"), F.col("seq").alias("held_seq")), "held_no").join(texts.select(F.col("text_no").alias("train_no"), F.col("seq").alias("train_seq")), "train_no")
