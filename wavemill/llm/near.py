@@ -19,10 +19,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard, first_per_key, mix64, not_blank, spread, words
+from .compare import NAMES, SCHEMA, close_pairs, pack
 from .components import components
 
 THRESHOLD = 0.7
@@ -39,8 +40,6 @@ GROUPS = [{1: 1, 2: 6, 3: 16}, {1: 1, 2: 2, 3: 4}, {1: 1, 2: 1, 3: 1}]
 #: Longer records have more groups, so that these stay small: from so many elements on, and then at each fourfold size,
 #: there is a row of four times as many before.
 LONG = 300
-#: Bits of a signature row that hold size and role, and the size that stands for all from it on.
-META, LARGEST = (1 << 24) - 1, (1 << 23) - 1
 SLICE = 2048
 
 
@@ -60,18 +59,24 @@ class Bags:
             self.seen.clear()
         for w in {w for p in parts for w in p} - self.seen.keys():
             self.seen[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        flat = np.fromiter((self.seen[w] for p in parts for w in p), np.uint64)
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        order = np.lexsort((flat, owner))
-        flat, owner = flat[order], owner[order]
-        start = np.ones(len(flat), bool)
-        start[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
-        at = np.arange(len(flat))
-        nth = at - np.maximum.accumulate(np.where(start, at, 0))
-        code = mix64(flat + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        code = (code >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        ends = np.cumsum(np.bincount(owner, minlength=len(parts)))
-        return [np.sort(x) for x in np.split(code, ends[:-1])]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        code = elements(np.fromiter((self.seen[w] for p in parts for w in p), np.uint64), sizes)
+        return np.split(code, np.cumsum(sizes)[:-1])
+
+
+def elements(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Element codes of texts of so many word codes each, sorted within a text: the n-th time that a word occurs in it is
+    another element."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((flat, owner))
+    flat = flat[order]
+    start = np.ones(len(flat), bool)
+    start[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    at = np.arange(len(flat))
+    nth = at - np.maximum.accumulate(np.where(start, at, 0))
+    code = mix64(flat + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    code = (code >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return code[np.lexsort((code, owner))]
 
 
 def bag_rows(df: DataFrame) -> DataFrame:
@@ -149,8 +154,8 @@ class Signer:
         """Elements that bags of n and m have in common at least if they agree by the threshold."""
         return -(-self.t * (n + m) // (100 + self.t))
 
-    def level(self, flat: np.ndarray, owner: np.ndarray, need: np.ndarray, probe: np.ndarray, groups: dict[int, int]):
-        """(signature, owner, in the shorter prefix) by one row of groups, and which records aren't worth enough by it.
+    def level(self, flat: np.ndarray, owner: np.ndarray, probe: np.ndarray, groups: dict[int, int]):
+        """(signature, owner, worth before it) by one row of groups, and which records aren't worth enough by it.
         Where two rows have as many groups of a kind, the signatures are the same."""
         rank = self.levels[slots(flat)]
         order = np.lexsort((flat, rank, owner))
@@ -172,9 +177,9 @@ class Signer:
         before = np.cumsum(worth) - worth
         head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         before = before - np.repeat(before[head], np.diff(np.r_[head, len(flat)]))
-        in_probe, in_need = before < probe[owner], before < need[owner]
-        whole = np.bincount(owner, worth, len(need))
-        sigs, owners, flags = [], [], []
+        in_probe = before < probe[owner]
+        whole = np.bincount(owner, worth, len(probe))
+        sigs, owners, places = [], [], []
         grouped = hashed[within]
         for k in range(1, MOST + 1):
             mine = np.flatnonzero(in_probe & (size == k) & (nth >= k - 1))
@@ -191,12 +196,12 @@ class Signer:
                         h = h * np.uint64(0x2545F4914F6CDD1D) + grouped[begin[:, None] + pick[None, :, c]]
                 sigs.append(mix64((h + np.uint64(groups[k] * 7 + k)).ravel()))
                 owners.append(np.repeat(owner[rows], h.shape[1]))
-                flags.append(np.repeat(in_need[rows], h.shape[1]))
+                places.append(np.repeat(before[rows], h.shape[1]))
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return join(sigs, np.uint64), join(owners, np.int64), join(flags, bool), whole < probe
+        return join(sigs, np.uint64), join(owners, np.int64), join(places, np.int64), whole < probe
 
-    def subsets(self, codes: np.ndarray) -> Iterator[tuple[int, bool]]:
-        """(signature, with a partner no larger) of every subset that a partner of some size has in common at least."""
+    def subsets(self, codes: np.ndarray) -> Iterator[np.ndarray]:
+        """Signatures of every subset that a partner of some size has in common at least."""
         n, done = len(codes), set()
         hashed = np.sort(mix64(codes.view(np.uint64)))
         for m in [*range(n, 0, -1), *range(n + 1, n * 100 // self.t + 1)]:
@@ -209,14 +214,21 @@ class Signer:
             h = np.zeros(len(self.pick(n, k)), np.uint64)
             for c in range(k):
                 h = h * np.uint64(0x2545F4914F6CDD1D) + hashed[self.pick(n, k)[:, c]]
-            yield mix64(h + np.uint64(1000 + k)), True
+            yield mix64(h + np.uint64(1000 + k))
 
     def sign(self, sets: list[np.ndarray], salts: np.ndarray):
-        """Signatures by all rows of GROUPS that a record needs; salts keep the kinds of records apart."""
+        """(signature, owner, in the shorter prefix) of all records, and their sizes."""
+        sig, own, place, n = self.place(sets, salts)
+        need = n - -(-2 * self.t * n // (100 + self.t)) + 1
+        return sig, own, place < need[own], n
+
+    def place(self, sets: list[np.ndarray], salts: np.ndarray):
+        """(signature, owner, place) by all rows of GROUPS that a record needs, and the sizes; salts keep the kinds of
+        records apart. The place is what the prefix is worth before the combination's last element. Records that may lack
+        d elements of each other's share a signature whose place is d at most in both."""
         n = np.array([len(s) for s in sets], np.int64)
         t = self.t
         probe = n - -(-t * n // 100) + 1
-        need = n - -(-2 * t * n // (100 + t)) + 1
         left, out = np.arange(len(sets)), []
         for least, enough, groups in rows_of(int(n.max()), t):
             use = left[n[left] >= least]
@@ -224,17 +236,17 @@ class Signer:
                 continue
             flat = np.concatenate([sets[i] for i in use])
             owner = np.repeat(np.arange(len(use)), n[use])
-            sig, own, flag, short = self.level(flat, owner, need[use], probe[use], groups)
-            out.append((sig, use[own], flag))
+            sig, own, place, short = self.level(flat, owner, probe[use], groups)
+            out.append((sig, use[own], place))
             left = np.setdiff1d(left, use[~short & (n[use] >= enough)], assume_unique=True)
         for i in left.tolist():
-            for sig, flag in self.subsets(sets[i]):
-                out.append((sig, np.full(len(sig), i), np.full(len(sig), flag)))
-        sig, own, flag = (np.concatenate(x) for x in zip(*out))
-        order = np.lexsort((~flag, sig, own))  # rows of one record side by side: what they share compresses well
-        sig, own, flag = sig[order], own[order], flag[order]
+            for sig in self.subsets(sets[i]):
+                out.append((sig, np.full(len(sig), i), np.zeros(len(sig), np.int64)))
+        sig, own, place = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((place, sig, own))  # rows of one record side by side: what they share compresses well
+        sig, own, place = sig[order], own[order], place[order]
         new = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]  # several rows may give the same
-        return mix64(sig[new] + salts[own[new]]), own[new], flag[new], n
+        return mix64(sig[new] + salts[own[new]]), own[new], place[new], n
 
     @staticmethod
     def bitmaps(sets: list[np.ndarray], n: np.ndarray) -> np.ndarray:
@@ -245,14 +257,12 @@ class Signer:
         return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
 
 
-def signatures(bags: DataFrame, levels: np.ndarray, count: int, threshold: float) -> DataFrame:
-    """(sig, bag_no, bits_a, bits_b, bits_c) of bags (bag_no, kind, bag).
+def signatures(bags: DataFrame, levels: np.ndarray, count: int, threshold: float, side: int = 0) -> DataFrame:
+    """(sig, no, bits_a, bits_b, bits_c) of bags (bag_no, kind, bag), packed as compare.py has it.
 
-    sig holds 40 bits of the signature, 23 of the bag's size and whether the signature is in its shorter prefix; equal
-    signatures of different combinations only cost a comparison.
+    40 bits of the signature are kept; equal signatures of different combinations only cost a comparison.
     """
     shared = bags.sparkSession.sparkContext.broadcast(levels)
-    names = ["sig", "bag_no", "bits_a", "bits_b", "bits_c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(shared.value, count, threshold)
@@ -263,35 +273,19 @@ def signatures(bags: DataFrame, levels: np.ndarray, count: int, threshold: float
                 values, ends = lists.values.to_numpy().astype(np.int64), lists.offsets.to_numpy()
                 sets = [values[ends[i] : ends[i + 1]] for i in range(len(ends) - 1)]
                 salts = np.array([xxhash.xxh64_intdigest(k.encode()) for k in b.column(1).to_pylist()], np.uint64)
-                sig, own, flag, n = signer.sign(sets, salts)
+                sig, own, place, n = signer.place(sets, salts)
                 bits = signer.bitmaps(sets, n)
                 no = b.column(0).to_numpy()
-                packed = (sig & ~np.uint64(META)) | (2 * np.minimum(n[own], LARGEST) + flag).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(no[own]), *[pa.array(bits[own, c]) for c in range(3)]], names)
-
-    return bags.select("bag_no", "kind", "bag").mapInArrow(run, "sig bigint, bag_no bigint, bits_a bigint, bits_b bigint, bits_c bigint")
-
-
-def _size(row: str) -> Column:
-    return F.shiftright(F.col(f"{row}.sig").bitwiseAND(F.lit(META)), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(pack(sig, n[own], place, side)), pa.array(no[own]), *[pa.array(bits[own, c]) for c in range(3)]], NAMES)
 
-
-def _same(a: str, b: str) -> Column:
-    return F.shiftright(f"{a}.sig", 24) == F.shiftright(f"{b}.sig", 24)
-
-
-def _close(a: str, b: str, small: Column, large: Column, t: int) -> Column:
-    """What signature rows a and b of a pair over the threshold must satisfy: no more parity bits differ than elements may,
-    and sizes are near enough. A size that stands for all from LARGEST on rejects no pair over the threshold."""
-    differ = sum(F.bit_count(F.col(f"{a}.bits_{c}").bitwiseXOR(F.col(f"{b}.bits_{c}"))) for c in "abc")
-    return (differ * (100 + t) <= (small + large) * (100 - t)) & (small * 100 >= large * t)
+    return bags.select("bag_no", "kind", "bag").mapInArrow(run, SCHEMA)
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, t: int) -> DataFrame:
     """Of pairs (low_no, high_no) those whose bags agree by the threshold."""
     low = bags.select(F.col("bag_no").alias("low_no"), F.col("bag").alias("low_bag"))
     high = bags.select(F.col("bag_no").alias("high_no"), F.col("bag").alias("high_bag"))
-    both = pairs.distinct().join(low, "low_no").join(high, "high_no")
+    both = pairs.join(low, "low_no").join(high, "high_no")
     common = F.size(F.array_intersect("low_bag", "high_bag"))
     return both.filter(common * (100 + t) >= (F.size("low_bag") + F.size("high_bag")) * t).select("low_no", "high_no")
 
@@ -300,32 +294,22 @@ def similar_bags(bags: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(low_no, high_no): all pairs of different bags of one kind whose multiset Jaccard similarity is >= threshold.
 
     bags: (bag_no, kind, bag), read several times. What is collected and broadcast is the table of frequencies, of fixed
-    size. The signatures are shuffled once for both sides of their join.
+    size. The signatures are shuffled once.
     """
     t = int(round(threshold * 100))
     rows = signatures(bags, frequencies(bags), bags.count(), threshold)
-    a, b = rows.alias("a"), rows.alias("b")
-    smaller = (_size("a") < _size("b")) | ((_size("a") == _size("b")) & (F.col("a.bag_no") < F.col("b.bag_no")))
-    # The test of a's flag names b as well: as a filter of one side it would be pushed below the exchange, and the
-    # signatures would be shuffled twice instead of once for both sides.
-    flagged = F.col("a.sig").bitwiseAND(F.lit(1)) + F.col("b.sig").bitwiseAND(F.lit(0)) == 1
-    pairs = a.join(b, _same("a", "b") & flagged & smaller & _close("a", "b", _size("a"), _size("b"), t))
-    return _verified(pairs.select(F.least("a.bag_no", "b.bag_no").alias("low_no"), F.greatest("a.bag_no", "b.bag_no").alias("high_no")), bags, t)
+    return _verified(close_pairs(rows, threshold), bags, t)
 
 
-def candidates_across(bags: DataFrame, left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def candidates_across(bags: DataFrame, left: DataFrame, right: DataFrame, count: int, threshold: float = THRESHOLD) -> DataFrame:
     """(left_no, right_no): among others, all pairs of a bag of left and another of its kind of right that agree by the
-    threshold; they are still to be verified. bags holds all of both.
+    threshold; they are still to be verified. bags holds all of both, so many.
 
-    Each side's signatures are shuffled once, and only bags of different sides are compared.
+    The signatures are shuffled once, and only bags of different sides are compared.
     """
-    t = int(round(threshold * 100))
-    levels, count = frequencies(bags), bags.count()
-    a, b = (signatures(side, levels, count, threshold).alias(name) for side, name in ((left, "a"), (right, "b")))
-    flag = F.when(_size("a") < _size("b"), F.col("a.sig")).when(_size("b") < _size("a"), F.col("b.sig")).otherwise(F.col("a.sig").bitwiseOR(F.col("b.sig")))
-    small, large = F.least(_size("a"), _size("b")), F.greatest(_size("a"), _size("b"))
-    pairs = a.join(b, _same("a", "b") & _close("a", "b", small, large, t) & (flag.bitwiseAND(F.lit(1)) == 1) & (F.col("a.bag_no") != F.col("b.bag_no")))
-    return pairs.select(F.col("a.bag_no").alias("left_no"), F.col("b.bag_no").alias("right_no")).distinct()
+    levels = frequencies(bags)
+    rows = signatures(left, levels, count, threshold, 0).unionAll(signatures(right, levels, count, threshold, 1))
+    return close_pairs(rows, threshold, across=True)
 
 
 def members_and_bags(df: DataFrame) -> tuple[DataFrame, DataFrame]:

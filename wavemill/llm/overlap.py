@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard, first_per_key, mix64, not_blank, spread, words
-from .near import META, THRESHOLD, candidates_across
+from .compare import NAMES, SCHEMA, close_pairs, pack
+from .near import THRESHOLD, candidates_across, elements
 
 #: Words of a fingerprint, and fingerprints of a window: every common run of GRAM + WINDOW - 1 words shares one.
 GRAM, WINDOW = 4, 6
@@ -188,11 +189,10 @@ def frequencies(texts: DataFrame) -> np.ndarray:
     return np.log2(np.maximum(counts * COUNTERS / max(counts.sum(), 1), 1)).astype(np.uint8)
 
 
-def fingerprints(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(fp, text_no, bits..) of texts (text_no, kind, seq): the winnowed fingerprints, rare before frequent ones, with the
-    size of the text in their last 24 bits."""
+def fingerprints(texts: DataFrame, levels: np.ndarray, side: int) -> DataFrame:
+    """(sig, no, bits..) of texts (text_no, kind, seq), packed as compare.py has it: the winnowed fingerprints, rare before
+    frequent ones. They have no place in a prefix."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
-    names = ["fp", "text_no", "bits_a", "bits_b", "bits_c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -207,11 +207,10 @@ def fingerprints(texts: DataFrame, levels: np.ndarray) -> DataFrame:
                 pair = np.unique(np.stack([owner[pick].astype(np.uint64), h[pick]], 1), axis=0)
                 own = pair[:, 0].astype(np.int64)
                 fp = mix64(pair[:, 1] + salts[own])
-                bits, n, no = parity(seqs), np.diff(ends).astype(np.int32), b.column(0).to_numpy()
-                packed = (fp & ~np.uint64(META)) | np.minimum(n[own], META).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(no[own]), *[pa.array(bits[own, c]) for c in range(3)]], names)
+                bits, n, no = parity(seqs), np.diff(ends).astype(np.int64), b.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(pack(fp, n[own], 0, side)), pa.array(no[own]), *[pa.array(bits[own, c]) for c in range(3)]], NAMES)
 
-    return texts.select("text_no", "kind", "seq").mapInArrow(run, "fp bigint, text_no bigint, bits_a bigint, bits_b bigint, bits_c bigint")
+    return texts.select("text_no", "kind", "seq").mapInArrow(run, SCHEMA)
 
 
 def sequence_rows(df: DataFrame) -> DataFrame:
@@ -233,14 +232,6 @@ def sequence_rows(df: DataFrame) -> DataFrame:
     return spread(rows, "rec_id", "loaded_at").mapInArrow(run, "kind string, rec_id bigint, loaded_at timestamp, split string, source string, seq_id binary, seq array<int>")
 
 
-def _elements(seq: np.ndarray) -> np.ndarray:
-    """Codes of a sequence's words, the n-th time that a word occurs another one."""
-    x = np.sort(seq.view(np.uint32)).astype(np.uint64)
-    at = np.arange(len(x))
-    nth = at - np.maximum.accumulate(np.where(np.r_[True, x[1:] != x[:-1]], at, 0))
-    return np.sort((mix64(x + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-
-
 def exact_candidates(texts: DataFrame, threshold: float) -> DataFrame:
     """(held_no, train_no): among others, all pairs across the splits whose bags agree by the threshold, whatever runs they
     share, so those that winnowing doesn't guarantee are there. texts: (text_no, kind, seq, in_train, held_out)."""
@@ -249,13 +240,14 @@ def exact_candidates(texts: DataFrame, threshold: float) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 lists = b.column(2)
-                bags = [_elements(x) for x in np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1])]
-                array = pa.ListArray.from_arrays(lists.offsets, pa.array(np.concatenate(bags)))
+                ends = lists.offsets.to_numpy()
+                code = elements(lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint32).astype(np.uint64), np.diff(ends))
+                array = pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(code))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), array], ["bag_no", "kind", "bag"])
 
     schema = "bag_no bigint, kind string, bag array<int>"
     bags = lambda some: some.select(F.col("text_no").alias("bag_no"), "kind", "seq").mapInArrow(run, schema)
-    return candidates_across(*(bags(texts.filter(side) if side else texts) for side in (None, "held_out", "in_train")), threshold).toDF("held_no", "train_no")
+    return candidates_across(*(bags(texts.filter(side) if side else texts) for side in (None, "held_out", "in_train")), texts.count(), threshold).toDF("held_no", "train_no")
 
 
 def cross_split(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -275,12 +267,8 @@ def cross_split(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = cut(last.join(texts.select("kind", "seq_id", "text_no"), ["kind", "seq_id"]).select("kind", "rec_id", "split", "source", "text_no"))
     discard(rows)
     levels = frequencies(texts)
-    a, b = fingerprints(texts.filter("held_out"), levels).alias("a"), fingerprints(texts.filter("in_train"), levels).alias("b")
-    differ = sum(F.bit_count(F.col(f"a.bits_{c}").bitwiseXOR(F.col(f"b.bits_{c}"))) for c in "abc")
-    size_a, size_b = F.col("a.fp").bitwiseAND(F.lit(META)), F.col("b.fp").bitwiseAND(F.lit(META))
-    near = (differ * (100 + t) <= (size_a + size_b) * (100 - t)) & (F.least(size_a, size_b) * 100 >= F.greatest(size_a, size_b) * t)
-    pairs = a.join(b, (F.shiftright("a.fp", 24) == F.shiftright("b.fp", 24)) & (F.col("a.text_no") != F.col("b.text_no")) & near)
-    pairs = pairs.select(F.col("a.text_no").alias("held_no"), F.col("b.text_no").alias("train_no"))
+    rows = fingerprints(texts.filter("held_out"), levels, 0).unionAll(fingerprints(texts.filter("in_train"), levels, 1))
+    pairs = close_pairs(rows, threshold, across=True).toDF("held_no", "train_no")
     pairs = pairs.unionByName(exact_candidates(texts, threshold)).distinct()
     full = pairs.join(texts.select(F.col("text_no").alias("held_no"), F.col("seq").alias("held_seq")), "held_no").join(texts.select(F.col("text_no").alias("train_no"), F.col("seq").alias("train_seq")), "train_no")
 
