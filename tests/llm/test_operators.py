@@ -190,6 +190,55 @@ def test_labelling_functions_are_separate_and_cutoffs_validated(spark):
     assert defects.validated_cutoffs(d.limit(0), models, {}) == defects.CUTOFFS
 
 
+def test_cutoffs_are_validated_on_all_records(spark):
+    """Defects are planted in every record, with the votes that whole planted records get; no record is left out."""
+    import numpy as np
+
+    rows, _ = pairs_with_defects()
+    rows = [dict(r, qa_id=i) for i, r in enumerate(rows * 2)]
+    rows += [dict(r, qa_id=9000 + i, loaded_at=T0) for i, r in enumerate([dict(question="<b>Question: what is heard?</b>\nChoices:\nA. x", answer=LONG), dict(question="N/A"), dict(question="窓の外で聞こえる音は何ですか。鐘ですか。", answer="鐘の音です。"), dict()])]
+    d = qa(spark, rows + [dict(rows[0], loaded_at=datetime.datetime(2023, 1, 1))])
+    models = defects._models(d, 20_000)
+    voter = defects.Voter(models)
+    records = [defects._record(r.get("question"), r.get("answer"), r.get("thinking"), r.get("choices")) for r in rows]
+    draws = np.arange(len(records), dtype=np.uint64) * np.uint64(7919)
+    votes, plants = voter.vote_planted(records, draws)
+    assert votes == voter.vote(records)
+    said = lambda a: words(defects.TAGS.sub(" ", a))
+    one = lambda q, a, t, c, name: defects.code(voter.vote([(q, a, t, c)])[0][name])
+    for (q, a, t, c), x, draw in zip(records, plants, draws.tolist()):
+        if not said(a):
+            assert not any(x.values())
+            continue
+        assert x["empty"] == one(q, defects.EMPTIED[draw % len(defects.EMPTIED)], t, c, "empty")
+        assert x["refusal"] == one(q, defects.DECLINED[draw % len(defects.DECLINED)], t, c, "refusal")
+        short = defects.cut_short(a, draw)
+        assert x["truncated"] == (None if short is None else one(q, short, t, c, "truncated"))
+        assert x["copied_question"] == (one(q, defects.CHOICES.split(q, maxsplit=1)[0].strip(), t, c, "copied_question") if len(words(q)) >= 5 else None)
+    voted = defects._voted(d, models)
+    got = voted.selectExpr("count(*) as n", "count(planted_empty) as e", "count(planted_refusal) as r").first()
+    assert got.n == len(rows) and got.e == got.r == sum(bool(said(a)) for _, a, _, _ in records)
+    # Any one record decides: only the patterns of one kind of record have a posterior.
+    asked, told = ("('latin', 0, -1)", "('latin', 1, True, False, 2, 2, True)")
+    found, count = defects._foreign({asked: 30, "('latin', 1, -1)": 5}, {told: 3, "('han', 9, True, False, 0, 255, False)": 1})
+    assert count == 35 and sum(found.values()) == pytest.approx(35)
+
+
+def test_cutoffs_follow_defects_of_few_records(spark):
+    """A cutoff is that of all records, though a sample of 400 holds next to none of the ones that differ."""
+    plain = [dict(qa_id=i, question="Which of the sounds is heard near the river?", answer="The bell of the old tower rings twice.", loaded_at=T0) for i in range(4000)]
+    d = qa(spark, plain, clash=False)
+    models = defects._models(d, 200)
+    voted = defects._voted(d, models).cache()
+    patterns = {r.planted_truncated: r["count"] for r in voted.groupBy("planted_truncated").count().collect()}
+    assert sum(patterns.values()) == 4000 and None not in patterns
+    rare = min(patterns, key=patterns.get)
+    marked = voted.select("truncated").distinct().collect()
+    posterior = {("truncated", p): 0.95 for p in patterns if p != rare} | {("truncated", rare): 0.35} | {("truncated", r.truncated): 0.0 for r in marked if r.truncated not in patterns}
+    cutoff = defects.validated_cutoffs(d, models, posterior, voted)["truncated"]
+    assert (cutoff <= 0.35) == (round(patterns[rare] / 4000, 3) > 0)
+
+
 def test_defects_of_null_long_and_no_records(spark):
     rows = [dict(qa_id=1), dict(qa_id=2, question="What?", answer=LONG, choices={"A": None}), dict(qa_id=2, question="What?", answer=LONG), dict(qa_id=3, question=LONG, answer="A. x", choices={"A": "x"})]
     got = {r.qa_id: r.defect for r in defects.one_defect(defects.defect_labels(qa(spark, rows))).collect()}

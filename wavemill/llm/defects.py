@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import re
 import unicodedata
 from collections import Counter
@@ -22,8 +23,8 @@ from .labelmodel import fit as fit_labels
 #: Posteriors from which a defect is kept where none can be validated; a record keeps several labels in defect_labels.
 #: Where only one may be given, the first in this order is taken.
 CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copied_question": 0.5, "other_language": 0.5, "truncated": 0.5}
-#: Records that defects are planted in to validate the cutoffs, and the cutoffs that are tried.
-PLANTED, TRIED = 400, [0.5, 0.4, 0.6, 0.3, 0.7, 0.2, 0.8, 0.1, 0.9]
+#: Cutoffs that are tried, and the planted defects from which one is chosen by them.
+LEAST, TRIED = 20, [0.5, 0.4, 0.6, 0.3, 0.7, 0.2, 0.8, 0.1, 0.9]
 
 # Answers that hold no content.
 PLACEHOLDERS = frozenset(
@@ -85,6 +86,7 @@ REFUSALS = re.compile(
 )
 # Refusals to plant.
 DECLINED = ["I'm sorry, but I can't help with that.", "I cannot answer this question about the clip.", "I would rather not comment on that request.", "As a language model, I am not able to listen to audio.", "Unfortunately I must decline to answer.", "Lo siento, pero no puedo responder a eso.", "抱歉，我无法回答这个问题。"]
+EMPTIED = ["", " ", "N/A", "<answer></answer>", *sorted(PLACEHOLDERS)]
 APOLOGY = re.compile(r"^\W*(?:(?:i'?m |i am |we'?re |so |very |my )?(?:sorry|apolog\w+)|unfortunately|regretfully|regrettably|with respect|lo siento|lamentablemente|perdón|disculp\w+|désolée?|je suis désolée?|malheureusement|je regrette|tut mir leid|es tut mir|leider|entschuldig\w+|desculp\w+|infelizmente|lamento|sinto muito|mi dispiace|извините|простите|к сожалению|抱歉|很抱歉|对不起|遗憾|申し訳|すみません|恐れ入りますが|残念ながら|죄송)", re.I)
 OFFER = re.compile(r"\b(?:rephrase|something different|provide a transcript|let me know if|may be sensitive|human expert|try (?:another|a different)|anything else)\b", re.I)
 THIRD = re.compile(r"^\W*(?:the|an?|one|some|this|that|her|his|their|another)\b[^.!?]*?\b(?:speakers?|voices?|man|woman|narrator|person|child|host|caller|singer|boy|girl|someone|actor|recording|clip)\b[^.!?]*?\b(?:says?|said|refuses?|declines?|apologi\w+|cannot|can'?t|answers?)\b|^\W*(?:he|she|they|someone)\b", re.I)
@@ -239,6 +241,12 @@ SENTENCE_ENDS = frozenset(".!?。？！")
 MARKED = PLAIN | {ord(x): "." for x in ".!?"}
 QUOTES = frozenset("\"“”«»„「」『』‘’")
 Record = tuple[str, str, str, list[tuple[str, str]]]
+QuestionSide = tuple[str | None, int, int]
+AnswerSide = tuple[str | None, int, bool, bool, int, int, bool]
+#: What is planted in a record: by defect the pattern of its votes, and both sides of what an answer in another language,
+#: which is another record's, is judged by.
+PLANTS = {"empty": "int", "refusal": "int", "copied_question": "int", "truncated": "int", "asked": "string", "told": "string"}
+Planted = dict[str, int | str | None]
 
 
 def nth(keys: np.ndarray) -> np.ndarray:
@@ -302,9 +310,16 @@ class Voter:
 
     def __init__(self, models: Models):
         self.m, self.words = models, Words(models.word_language)
+        self.fixed: dict[str, list[int]] = {}
 
     def vote(self, records: list[Record]) -> list[dict[str, list[int]]]:
+        return self.vote_planted(records, None)[0]
+
+    def vote_planted(self, records: list[Record], draws: np.ndarray | None) -> tuple[list[dict[str, list[int]]], list[Planted]]:
+        """Votes; and where there are numbers to draw by, what planted() would make of each record and how its functions
+        vote, without taking the texts apart again. Only the functions of the planted defect matter."""
         out: list[dict[str, list[int]] | None] = []
+        plants = [dict.fromkeys(PLANTS) for _ in records]
         inner, found = [], []
         for _, answer, _, _ in records:
             text = TAGS.sub(" ", answer) if "<" in answer else answer
@@ -313,12 +328,20 @@ class Voter:
             out.append(self.nothing(answer, said) if empty else None)
             inner.append(text)
             found.append(said)
-        left = [i for i, v in enumerate(out) if v is None]
+        left = [i for i, v in enumerate(out) if v is None or (draws is not None and found[i])]  # placeholders have questions, too
         if left:
-            for i, v in zip(left, self.content([records[i] for i in left], [inner[i] for i in left], [found[i] for i in left])):
-                out[i] = v
+            parts = [records[i] for i in left], [inner[i] for i in left], [found[i] for i in left]
+            for i, v, x in zip(left, *self.content(*parts, None if draws is None else draws[left])):
+                out[i], plants[i] = out[i] or v, x
+        if draws is not None and records:
+            if not self.fixed:
+                bare_voter = lambda a, d: code(self.vote([("", a, "", [])])[0][d])
+                self.fixed = {"empty": [bare_voter(a, "empty") for a in EMPTIED], "refusal": [bare_voter(a, "refusal") for a in DECLINED]}
+            for said, x, draw in zip(found, plants, draws.tolist()):
+                for d, patterns in self.fixed.items() if said else ():
+                    x[d] = patterns[draw % len(patterns)]
         self.words.fresh()
-        return out
+        return out, plants
 
     @staticmethod
     def nothing(answer: str, said: list[str]) -> dict[str, list[int]]:
@@ -327,7 +350,7 @@ class Voter:
         empty = [0 if said else 1, 1 if said else 0, 1 if not said and TAGS.search(answer) else 0, 0 if visible else 1]
         return {d: empty if d == "empty" else [0] * len(r) for d, r in RULES.items()}
 
-    def content(self, records: list[Record], inner: list[str], found: list[list[str]]) -> list[dict[str, list[int]]]:
+    def content(self, records: list[Record], inner: list[str], found: list[list[str]], draws: np.ndarray | None = None) -> tuple[list[dict[str, list[int]]], list[Planted]]:
         n = len(records)
         stems, rests, own, own_words, asked = [], [], [], [], []
         for (question, answer, _, _), text, said in zip(records, inner, found):
@@ -338,8 +361,7 @@ class Voter:
             mine = bare_text if bare_text is answer or WORD.search(bare_text) else answer
             own.append(mine)
             own_words.append(said if mine is answer and text is answer else words(mine))
-            start = ASKING.match(text)
-            asked.append(words(text[start.end() :]) if start else said)
+            asked.append(self.asked(text, said))
         marked = [t.translate(MARKED).replace(".", " . ").split() if t.isascii() else [w.lower() for w in SENTENCE_WORDS.findall(t)] for t in stems]
         flat, owner = self.words.of(marked)
         ends = np.isin(flat, [self.words[x] for x in SENTENCE_ENDS if x in self.words])
@@ -358,9 +380,10 @@ class Voter:
         lang_a, n_a = languages(script_a, *mine, w.spoken)
         lang_t, n_t = languages(script_t, *thought, w.spoken)
         said = np.stack([np.bincount(mine[1], w.own[mine[0]] == k + 1, n) for k in range(len(LANGUAGES))], 1)
+        again = self.copied(records, stems, script_q, question, stem, sentence) if draws is not None else [None] * n
         roles = w.roles[mine[0]]
         role = [np.bincount(mine[1], roles >> i & 1, n) > 0 for i in range(4)]
-        out = []
+        out, plants = [], []
         for i, (q, a, _, choices) in enumerate(records):
             whole, prefix, core = self.choice(a, choices)
             v = {"empty": [-1, 0 if len(found[i]) < 2 else -1, 0 if "<" in a else -1, -1 if len(inner[i]) >= 4 else 0]}
@@ -372,11 +395,62 @@ class Voter:
                 v["copied_question"] = [-1, -1, -1, 0]
             else:
                 v["copied_question"] = copies.votes(i, asks)
-            v["other_language"] = self.language(script_q[i], script_a[i], (lang_q[i], n_q[i]), (lang_a[i], n_a[i]), (lang_t[i], n_t[i]), said[i], len(own_words[i]))
+            of_question = self.question_side(script_q[i], (lang_q[i], n_q[i]), (lang_t[i], n_t[i]))
+            of_answer = self.answer_side(script_a[i], (lang_a[i], n_a[i]), said[i], len(own_words[i]))
+            v["other_language"] = self.language(of_question, of_answer)
             v["truncated"] = self.ending(a, core, whole, prefix)
             out.append(v)
+            x = dict.fromkeys(PLANTS)
+            if draws is not None:
+                x |= {"copied_question": again[i], "truncated": self.shortened(a, choices, int(draws[i]))}
+                x["asked"] = repr(of_question) if of_question[1] >= 0 else None
+                x["told"] = repr(of_answer) if of_answer[1] >= 0 and of_answer[2] else None
+            plants.append(x)
+        return out, plants
+
+    @staticmethod
+    def asked(text: str, said: list[str]) -> list[str]:
+        """Words of an answer, without an announcement that the question is repeated."""
+        start = ASKING.match(text)
+        return words(text[start.end() :]) if start else said
+
+    def copied(self, records: list[Record], stems: list[str], scripts: list[str | None], question, stem, sentence: np.ndarray) -> list[int | None]:
+        """How the functions vote on each question as its own answer; None where that is too short to be planted."""
+        answers = [t.strip() for t in stems]
+        inner = [TAGS.sub(" ", t) if "<" in t else t for t in answers]
+        found = [words(t) for t in inner]
+        asked = [self.asked(t, said) for t, said in zip(inner, found)]
+        copies = Copies(len(records), self.words.of(asked), question, stem, sentence, 4)
+        out = []
+        for i, (q, _, _, choices) in enumerate(records):
+            a = answers[i]
+            if len(found[i]) < 5 and len(words(q)) < 5:
+                out.append(None)
+                continue
+            if not found[i] or (len(found[i]) <= 4 and " ".join(found[i]) in PLACEHOLDERS):
+                out.append(code([0, 0, 0, 0]))
+                continue
+            asks = "?" in a or "？" in a
+            bare_text = QUOTED.sub(" ", a) if not QUOTES.isdisjoint(a) else a
+            if scripts[i] in OWN and (bare_text is a or script(bare_text if WORD.search(bare_text) else a) == scripts[i]):
+                out.append(code(self.letters(stems[i], asked[i], asks)))
+            elif len(asked[i]) < 5 or any(self.choice(a, choices)[:2]):
+                out.append(code([-1, -1, -1, 0]))
+            else:
+                out.append(code(copies.votes(i, asks)))
         return out
 
+    def shortened(self, answer: str, choices: list[tuple[str, str]], draw: int) -> int | None:
+        """How the functions vote on the answer cut short; None where it isn't planted."""
+        a = cut_short(answer, draw)
+        if a is None:
+            return None
+        said = words(TAGS.sub(" ", a) if "<" in a else a)
+        if not said or (len(said) <= 4 and " ".join(said) in PLACEHOLDERS):
+            return code([0, 0, 0, 0])
+        whole, prefix, core = self.choice(a, choices)
+        return code(self.ending(a, core, whole, prefix))
+
     @staticmethod
     def choice(answer: str, choices: list[tuple[str, str]]) -> tuple[bool, bool, str]:
         """Whether the answer is one of the choices, or the beginning of one; and the answer without marks at its end."""
@@ -414,22 +488,34 @@ class Voter:
         return Copies(1, code(a), q, q, np.repeat(np.arange(len(sentences)), [len(s) for s in sentences]), 6).votes(0, asks)
 
     @staticmethod
-    def language(script_q, script_a, asked, told, thought, said: np.ndarray, length: int) -> list[int]:
-        (lang_q, n_q), (lang_a, n_a), (lang_t, n_t) = asked, told, thought
-        lang_w, n_w = (int(said.argmax()), int(said.max())) if said.any() else (-1, 0)
-        known = lang_q if n_q >= 2 else -1
+    def question_side(script_q, asked, thought) -> QuestionSide:
+        """What the votes on the language need of question and thinking: script, language if known, that of the thinking."""
+        (lang_q, n_q), (lang_t, n_t) = asked, thought
+        return script_q, int(lang_q) if n_q >= 2 else -1, int(lang_t) if n_t >= 3 else -1
+
+    @staticmethod
+    def answer_side(script_a, told, said: np.ndarray, length: int) -> AnswerSide:
+        """What they need of an answer: script, language, whether several function words tell it, whether it is short; how
+        many words belong to one language, up to two; the languages that have half of these or more; whether they are many."""
+        lang_a, n_a = told
+        n_w = int(said.max(initial=0))
+        held = sum(1 << k for k, n in enumerate(said.tolist()) if n * 2 >= n_w)
+        return script_a, int(lang_a), bool(n_a >= 2), length <= 8, min(n_w, 2), held, n_w * 2 > length or n_w >= 3
+
+    @staticmethod
+    def language(of_question: QuestionSide, of_answer: AnswerSide) -> list[int]:
+        (script_q, known, thinks), (script_a, lang_a, sure, short, n_w, held, many) = of_question, of_answer
         other = [0, 0, 0, 0]
         if known >= 0:
             if lang_a >= 0:
-                other[0] = -1 if lang_a == known else 1 if n_a >= 2 or length <= 8 else 0
+                other[0] = -1 if lang_a == known else 1 if sure or short else 0
             if script_a and script_q:
                 other[1] = 1 if script_a != script_q and {script_a, script_q} != {"han", "kana"} else -1 if script_q != "latin" else 0
             if n_w >= 2:
-                of_known = said[known] if known < len(LANGUAGES) else 0
-                other[2] = -1 if of_known * 2 >= n_w else 1 if n_w * 2 > length or n_w >= 3 else 0
-            if lang_t >= 0 and n_t >= 3 and lang_a >= 0 and (n_a >= 2 or lang_a >= len(LANGUAGES)):
-                other[3] = -1 if lang_a == lang_t else 1 if lang_t == known else 0
-        if lang_a < 0 and lang_w < 0 and other[1] <= 0:
+                other[2] = -1 if known < len(LANGUAGES) and held >> known & 1 else 1 if many else 0
+            if thinks >= 0 and lang_a >= 0 and (sure or lang_a >= len(LANGUAGES)):
+                other[3] = -1 if lang_a == thinks else 1 if thinks == known else 0
+        if lang_a < 0 and n_w == 0 and other[1] <= 0:
             other = [-1 if x == 0 else x for x in other]
         return other
 
@@ -468,7 +554,7 @@ def _models(qa: DataFrame, sample: int) -> Models:
 
 def defect_votes(qa: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """qa_id and one vote pattern per defect, one row per record: of repeated deliveries the last counts."""
-    return _voted(qa, _models(qa, sample))
+    return _voted(qa, _models(qa, sample)).select("qa_id", *RULES)
 
 
 def _record(question, answer, thinking, choices) -> Record:
@@ -486,56 +572,91 @@ def planted(records: list[Record], seed: int = 3) -> dict[str, list[Record]]:
     for q, a, t, c in records:
         if not words(a):
             continue
-        out["empty"].append((q, pick(["", " ", "N/A", "<answer></answer>", *sorted(PLACEHOLDERS)]), t, c))
+        out["empty"].append((q, pick(EMPTIED), t, c))
         out["refusal"].append((q, pick(DECLINED), t, c))
         if len(words(q)) >= 5:
             out["copied_question"].append((q, CHOICES.split(q, maxsplit=1)[0].strip(), t, c))
         if (asked := language(q))[1] >= 2 and foreign[asked[0]]:
             out["other_language"].append((q, pick(foreign[asked[0]]), t, c))
-        if len(words(a)) >= 8 and finished(a):
-            core = bare(strip_end(a))
-            out["truncated"].append((q, core[: int(rng.integers(len(core) // 3, len(core) - 3))].rstrip(), t, c))
+        if (short := cut_short(a, int(rng.integers(1 << 60)))) is not None:
+            out["truncated"].append((q, short, t, c))
     return out
 
 
-def validated_cutoffs(qa: DataFrame, models: Models, posterior: dict[tuple[str, int], float], most: int = PLANTED) -> dict[str, float]:
-    """By defect the cutoff, of those tried, that finds the largest share of planted defects less the share of the same
-    records, as delivered, that it marks; ties go to the one nearest to 0.5.
+def cut_short(answer: str, draw: int) -> str | None:
+    """A finished answer of eight words or more, cut somewhere in its last two thirds."""
+    if not finished(answer) or len(words(answer)) < 8:
+        return None
+    core = bare(strip_end(answer))
+    first, last = len(core) // 3, len(core) - 3
+    return core[: first + draw % (last - first)].rstrip() if last > first else None
 
-    At most so many records, chosen by a hash of their id, come to the driver; a pattern no record shows has posterior 0.
+
+def validated_cutoffs(qa: DataFrame, models: Models, posterior: dict[tuple[str, int], float], voted: DataFrame | None = None) -> dict[str, float]:
+    """By defect the cutoff, of those tried, that finds the largest share of planted defects less the share of the records,
+    as delivered, that it marks; ties go to the one nearest to 0.5.
+
+    Every defect is planted in every record that can hold it. An answer in another language is each such answer of all
+    records in turn, by the counts of what the functions see of questions and of answers. A pattern no record shows has
+    posterior 0. Only counts of patterns come to the driver. voted: the result of _voted, if it is at hand.
     """
-    space = 1 << 30
-    share = min(1.0, most / max(qa.count(), 1))
-    chosen = qa.filter(F.pmod(F.xxhash64(F.lit(8), "qa_id"), F.lit(space)) < int(share * space)).filter(F.length(F.concat_ws("", "question", "answer", "thinking")) <= 20_000)
-    records = [_record(*r) for r in chosen.select("question", "answer", "thinking", "choices").limit(most).collect()]
-    if not records:
+    voted = _voted(qa, models) if voted is None else voted
+    values = [*RULES, *(f"planted_{d}" for d in PLANTS)]
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("string").alias("value")) for v in values])).alias("x")
+    seen: dict[str, dict[str, int]] = {v: {} for v in values}
+    for r in voted.select(each).filter("x.value is not null").groupBy("x.name", "x.value").count().collect():
+        seen[r.name][r.value] = r["count"]
+    if not seen["empty"]:
         return dict(CUTOFFS)
-    voter = Voter(models)
-    of = lambda d, rows: np.array([posterior.get((d, code(v[d])), 0.0) for v in rows])
-    plain, cutoffs = voter.vote(records), {}
-    for d, rows in planted(records).items():
-        found, marked = of(d, voter.vote(rows)) if rows else np.zeros(0), of(d, plain)
-        gain = [(found >= c).mean() - (marked >= c).mean() if len(found) >= 20 else 0.0 for c in TRIED]
+    cutoffs = {}
+    for d in RULES:
+        marked = {int(v): float(n) for v, n in seen[d].items()}
+        if d == "other_language":
+            found, planted_in = _foreign(seen["planted_asked"], seen["planted_told"])
+        else:
+            found = {int(v): float(n) for v, n in seen[f"planted_{d}"].items()}
+            planted_in = sum(found.values())
+        share = lambda counts, c: sum(n for p, n in counts.items() if posterior.get((d, p), 0.0) >= c) / max(sum(counts.values()), 1e-9)  # noqa: B023, E731
+        gain = [share(found, c) - share(marked, c) if planted_in >= LEAST else 0.0 for c in TRIED]
         cutoffs[d] = TRIED[int(np.argmax(np.round(gain, 3)))]
     return cutoffs
 
 
+def _foreign(asked: dict[str, int], told: dict[str, int]) -> tuple[dict[int, float], int]:
+    """By pattern how many records show it whose answer is one in another language, each of these being as likely; and how
+    many records there are that can have one."""
+    answers = [(ast.literal_eval(v), n) for v, n in told.items()]
+    found: Counter[int] = Counter()
+    count = 0
+    for v, n in asked.items():
+        question = ast.literal_eval(v)
+        others = [(a, m) for a, m in answers if a[1] != question[1]]
+        total = sum(m for _, m in others)
+        count += n if total else 0
+        for a, m in others:
+            found[code(Voter.language(question, a))] += n * m / total
+    return dict(found), count
+
+
 def _voted(qa: DataFrame, models: Models) -> DataFrame:
     shared = qa.sparkSession.sparkContext.broadcast(models)
-    names = ["qa_id", "loaded_at", *RULES]
+    names = ["qa_id", "loaded_at", *RULES, *(f"planted_{d}" for d in PLANTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voter = Voter(shared.value)
         for big in batches:
             for at in range(0, big.num_rows, SLICE):
                 b = big.slice(at, SLICE)
-                rows = voter.vote([_record(*r) for r in zip(*(b.column(i).to_pylist() for i in range(2, 6)))])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([code(r[d]) for r in rows], pa.int32()) for d in RULES]], names)
+                draws = mix64(b.column(0).fill_null(0).to_numpy().view(np.uint64) + np.uint64(8)) >> np.uint64(4)
+                rows, plants = voter.vote_planted([_record(*r) for r in zip(*(b.column(i).to_pylist() for i in range(2, 6)))], draws)
+                patterns = [pa.array([code(r[d]) for r in rows], pa.int32()) for d in RULES]
+                made = [pa.array([x[d] for x in plants], pa.int32() if kind == "int" else pa.string()) for d, kind in PLANTS.items()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *patterns, *made], names)
 
-    schema = "qa_id bigint, loaded_at timestamp, " + ", ".join(f"{d} int" for d in RULES)
+    schema = "qa_id bigint, loaded_at timestamp, " + ", ".join([*(f"{d} int" for d in RULES), *(f"planted_{d} {kind}" for d, kind in PLANTS.items())])
     voted = qa.select("qa_id", "loaded_at", "question", "answer", "thinking", F.map_filter("choices", lambda k, v: v.isNotNull()).alias("choices"))
     voted = spread(voted, "qa_id", "loaded_at").mapInArrow(run, schema)
-    return cut(first_per_key(voted, ["qa_id"], list(RULES), "loaded_at"))
+    return cut(first_per_key(voted, ["qa_id"], names[2:], "loaded_at"))
 
 
 def defect_labels(qa: DataFrame, sample: int = SAMPLE, cutoffs: dict[str, float] | None = None) -> DataFrame:
@@ -543,8 +664,8 @@ def defect_labels(qa: DataFrame, sample: int = SAMPLE, cutoffs: dict[str, float]
 
     One label model per defect, fitted on the counts of its vote patterns over all records (at most 3 ** 5 patterns).
     Cutoffs that aren't given are validated on planted defects. A null answer, question or thinking counts as an empty
-    text; choices may be null. Sampling bounds only what the weights of the ending model are fitted on and what cutoffs
-    are validated on; words are counted over all records, and all are judged.
+    text; choices may be null. Sampling bounds only what the weights of the ending model are fitted on; words are counted
+    and cutoffs validated over all records, and all are judged.
     """
     models = _models(qa, sample)
     voted = _voted(qa, models)
@@ -558,7 +679,7 @@ def defect_labels(qa: DataFrame, sample: int = SAMPLE, cutoffs: dict[str, float]
             votes = np.array([decode(p, len(RULES[d])) for p, _ in patterns])
             post, _ = fit_labels(votes, np.array([c for _, c in patterns]), 0.03)
             table += [(d, p, float(x)) for (p, _), x in zip(patterns, post)]
-    cutoffs = cutoffs or validated_cutoffs(qa, models, {(d, p): x for d, p, x in table})
+    cutoffs = cutoffs or validated_cutoffs(qa, models, {(d, p): x for d, p, x in table}, voted)
     kept = [x for x in table if x[2] >= cutoffs[x[0]]]
     weights = qa.sparkSession.createDataFrame(kept, "defect string, pattern int, posterior double")
     return long.join(F.broadcast(weights), ["defect", "pattern"]).select("qa_id", "defect", "posterior")
