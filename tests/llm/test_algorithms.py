@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from wavemill.llm import bpe, compare, endings, labelmodel, mixing, near, overlap, packing, repetition, splits, truncation
+from wavemill.llm import bpe, compare, defects, endings, labelmodel, lexicon, mixing, near, overlap, packing, repetition, splits, truncation
+from wavemill.llm.common import words
 
 
 @pytest.fixture(scope="module")
@@ -298,3 +299,52 @@ def test_comparison_finds_close_pairs_without_comparing_all(across, monkeypatch)
         got = compare.compare(packed[order], order, np.ascontiguousarray(bits[order].T), 70, across)
         assert {tuple(p) for p in got.tolist()} == want and len(want) > 100
         assert sum(compared) < count * count / 8
+
+
+def test_tokens_equal_the_pattern():
+    rng = random.Random(8)
+    for letters in ("aB1 .,;:-'_<", "aB1 .,;:-'_<é’—中 \u3000\ud800"):
+        for _ in range(3000):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))
+            found = endings.TOKEN.findall(text)
+            assert endings.tokens_of(text) == found and endings.tokens_of(text, True) == [x.lower() for x in found]
+
+
+class Languages:
+    """A table of words that counts how often it is asked."""
+
+    asked = 0
+
+    def get_all(self, found):
+        self.asked += 1
+        return np.array([len(w) % 9 for w in found], np.int64)
+
+
+def test_voting_compares_an_answer_once_and_looks_words_up_together(monkeypatch):
+    rng = random.Random(6)
+    vocabulary = "What which bell is the heard near old river? rings. twice! la campana y n a na <b> </b> \"so\" 鐘の音です。窓の外で聞こえる音は何ですか 中文字 и на".split()
+    text = lambda: rng.choice(["", "", "Question: ", "<b>"]) + " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 14))) + rng.choice(["", "\nChoices:\nA. bell"])
+    records = [(text(), text(), "", rng.choice([[], [("A", "the bell rings"), ("B", text())]])) for _ in range(1500)]
+    draws = np.arange(len(records), dtype=np.uint64) * np.uint64(7919)
+    voter = defects.Voter(defects.Models(endings.EndModel(np.zeros(endings.SIZE, np.float32), lexicon.Memory([]), frozenset()), table := Languages()))
+    voter.vote_planted(records[:1], draws[:1])  # what is planted from fixed texts is voted on once
+    one = lambda q, t, c: defects.code(voter.vote([(q, defects.CHOICES.split(q, maxsplit=1)[0].strip(), t, c)])[0]["copied_question"])
+    want = [one(q, t, c) if words(defects.TAGS.sub(" ", a)) and len(words(q)) >= 5 else None for q, a, t, c in records]
+
+    compared = []
+    kept = defects.Copies.__init__
+    monkeypatch.setattr(defects.Copies, "__init__", lambda self, n, *rest: (compared.append(n) if rest[-1] == 4 else None, kept(self, n, *rest))[1])
+    before = table.asked
+    _, plants = voter.vote_planted(records, draws)
+    assert [x["copied_question"] for x in plants] == want
+    assert table.asked - before <= 5
+    lose = sum("<" in q or q.startswith("Question") for q, _, _, _ in records)
+    assert sum(compared) <= len(records) + lose < 1.8 * len(records)
+
+
+def test_words_that_fit_one_refusal_are_tried_with_it():
+    roles = lambda a: [any(w in x for w in words(a)) for x in defects.ROLE_SETS]
+    for start in ("Nothing", "No", "It goes against", "They go against", "He stands against", "Nothing is against what I"):
+        for rest in ("answer can be given.", "the guidelines", "our rulesets", "comment could be made", "the wall", "can say", "do that"):
+            a = f"{start} {rest}"
+            assert (defects.Voter.refusal(a, words(a), "latin", *roles(a))[0] == 1) == (defects.REFUSALS.search(a) is not None), a

@@ -8,7 +8,8 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,21 @@ LANGUAGES = sorted(STOPWORDS)
 SPOKEN = {w: sum(1 << i for i, k in enumerate(LANGUAGES) if w in STOPWORDS[k]) for v in STOPWORDS.values() for w in v}
 RU = LANGUAGES.index("ru")
 # Words of which an answer must hold one for any of the patterns below to fit; of other scripts all are tried.
-DECLINING = frozenset("i we no nothing against outside beyond possible consult request answer response can cant cannot unable not won wont ai language text assistant virtual prefiero modelo je tant impossible ich sprachmodell ki ablehnen möglich kann não prefiro non preferisco".split())
+DECLINING = frozenset("i we no outside beyond possible consult request answer response can cant cannot unable not won wont ai language text assistant virtual prefiero modelo je tant impossible ich sprachmodell ki ablehnen möglich kann não prefiro non preferisco".split())
+DECLINING_ONCE = frozenset("nothing against".split())
 OFFERING = frozenset("rephrase different transcript know sensitive human try anything".split())
 SPEAKING = frozenset("say says said refuse refuses decline declines apologise apologises apologised apologize apologizes apologized apologising apologizing cannot can answer answers".split())
 PERSONS = frozenset("he she they someone".split())
 FIRST = frozenset("i me my we our".split())
+#: By word: a bit for each set that has it.
+ROLE_SETS = (DECLINING, DECLINING_ONCE, OFFERING, SPEAKING, FIRST)
+ROLES = {w: sum((w in x) << i for i, x in enumerate(ROLE_SETS)) for v in ROLE_SETS for w in v}
+# Ways to decline by the words of DECLINING_ONCE; REFUSALS has them as well.
+DECLINED_ONCE = [
+    r"\b(?:no|nothing) (?:comment|answer|reply) (?:can|could|will) be (?:made|given)",
+    r"\bgo(?:es)? against (?:my|our|the) (?:guidelines|policy|policies|rules|principles)",
+]
+REFUSALS_ONCE = re.compile("|".join(DECLINED_ONCE), re.I)
 # Ways to decline, by the start of a clause or anywhere outside quotations.
 REFUSALS = re.compile(
     "|".join(
@@ -62,8 +73,7 @@ REFUSALS = re.compile(
             r"\bi(?:'d| would) (?:rather|prefer) not\b",
             r"\bi (?:refuse|decline)\b",
             r"\bsomething i (?:must|have to|can'?t|cannot)\b",
-            r"\b(?:no|nothing) (?:comment|answer|reply) (?:can|could|will) be (?:made|given)",
-            r"\bgo(?:es)? against (?:my|our|the) (?:guidelines|policy|policies|rules|principles)",
+            *DECLINED_ONCE,
             r"\bfalls? outside (?:of )?what i\b|\b(?:outside|beyond) my (?:scope|abilities|capabilities)",
             r"\bno way (?:that )?i (?:could|can)\b",
             r"\b(?:it )?(?:isn'?t|is not) possible for me\b",
@@ -135,9 +145,9 @@ CODES = {k: i for i, k in enumerate([*LANGUAGES, *OWN.values()])}
 class Words(dict):
     """Codes of words, and by code what is known of each word."""
 
-    def __init__(self, language_of=None):
+    def __init__(self, languages_of=None):
         super().__init__()
-        self.language_of, self.new = language_of, []
+        self.languages_of, self.new = languages_of, []
         self.spoken, self.own, self.roles = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def __missing__(self, w: str) -> int:
@@ -151,10 +161,9 @@ class Words(dict):
         flat = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64, sum(sizes))
         if self.new:
             self.spoken = np.r_[self.spoken, np.array([SPOKEN.get(w, 0) for w in self.new], np.uint16)]
-            if self.language_of:
-                self.own = np.r_[self.own, np.array([self.language_of(w) for w in self.new], np.int64)]
-            sets = (DECLINING, OFFERING, SPEAKING, FIRST)
-            self.roles = np.r_[self.roles, np.array([sum((w in x) << i for i, x in enumerate(sets)) for w in self.new], np.uint8)]
+            if self.languages_of:
+                self.own = np.r_[self.own, self.languages_of(self.new)]
+            self.roles = np.r_[self.roles, np.array([ROLES.get(w, 0) for w in self.new], np.uint8)]
             self.new = []
         return flat, np.repeat(np.arange(len(parts)), sizes)
 
@@ -199,21 +208,29 @@ class Models:
     ends: EndModel
     words: lexicon.Table
 
-    def word_language(self, word: str) -> int:
-        """The value of the language that a word belongs to, 0 if it belongs to none."""
-        return self.words.get(word)
+    def word_languages(self, words: list[str]) -> np.ndarray:
+        """The values of the languages that words belong to, 0 of those that belong to none."""
+        return self.words.get_all(words)
 
 
-def tally(texts: list[str]) -> Iterator[tuple[str, list[str]]]:
-    """Words of the texts for the ending model; and each word of a text once, under the text's language if that is known."""
-    known = Words()
+def tally(texts: list[str]) -> Iterator[tuple[str, list[str] | Counter[str]]]:
+    """Words of the texts for the ending model; and each word of a text once, under the text's language if that is known,
+    counted."""
     parts = [words(t) for t in texts]
-    flat, owner = known.of(parts)
-    lang, n = languages([script(t) for t in texts], flat, owner, known.spoken)
+    sizes = [len(p) for p in parts]
+    spoken = np.fromiter(map(SPOKEN.get, chain.from_iterable(parts), repeat(0)), np.uint16, sum(sizes))
+    hit = np.flatnonzero(spoken)
+    lang, n = languages([script(t) for t in texts], hit, np.repeat(np.arange(len(parts)), sizes)[hit], spoken)
+    by: dict[str, list[set[str]]] = {}
     for t, p, k, c in zip(texts, parts, lang.tolist(), n.tolist()):
         yield "", whole_words(t)
         if 0 <= k < len(LANGUAGES) and c >= 2:
-            yield LANGUAGES[k], [w for w in set(p) if not w.isnumeric()]
+            by.setdefault(LANGUAGES[k], []).append(set(p))
+    for k, sets in by.items():
+        count = Counter(chain.from_iterable(sets))
+        for w in [w for w in count if w.isnumeric()]:
+            del count[w]
+        yield k, count
 
 
 def train(texts: list[str], corpus: DataFrame) -> Models:
@@ -243,6 +260,7 @@ QUOTES = frozenset("\"“”«»„「」『』‘’")
 Record = tuple[str, str, str, list[tuple[str, str]]]
 QuestionSide = tuple[str | None, int, int]
 AnswerSide = tuple[str | None, int, bool, bool, int, int, bool]
+shown = lru_cache(1 << 16)(repr)
 #: What is planted in a record: by defect the pattern of its votes, and both sides of what an answer in another language,
 #: which is another record's, is judged by.
 PLANTS = {"empty": "int", "refusal": "int", "copied_question": "int", "truncated": "int", "asked": "string", "told": "string"}
@@ -309,7 +327,7 @@ class Voter:
     """
 
     def __init__(self, models: Models):
-        self.m, self.words = models, Words(models.word_language)
+        self.m, self.words = models, Words(models.word_languages)
         self.fixed: dict[str, list[int]] = {}
 
     def vote(self, records: list[Record]) -> list[dict[str, list[int]]]:
@@ -379,15 +397,23 @@ class Voter:
         lang_q, n_q = languages(script_q, *stem, w.spoken)
         lang_a, n_a = languages(script_a, *mine, w.spoken)
         lang_t, n_t = languages(script_t, *thought, w.spoken)
-        said = np.stack([np.bincount(mine[1], w.own[mine[0]] == k + 1, n) for k in range(len(LANGUAGES))], 1)
-        again = self.copied(records, stems, script_q, question, stem, sentence) if draws is not None else [None] * n
+        sides_q = list(map(self.question_side, script_q, zip(lang_q.tolist(), n_q.tolist()), zip(lang_t.tolist(), n_t.tolist())))
+        own_of = w.own[mine[0]]
+        belong = np.flatnonzero(own_of)
+        said = np.bincount(mine[1][belong] * len(LANGUAGES) + own_of[belong] - 1, minlength=n * len(LANGUAGES)).reshape(n, len(LANGUAGES))
+        n_w = said.max(1, initial=0)
+        held = (said * 2 >= n_w[:, None]) @ (1 << np.arange(len(LANGUAGES)))
+        sides_a = list(map(self.answer_side, script_a, zip(lang_a.tolist(), n_a.tolist()), zip(n_w.tolist(), held.tolist()), map(len, own_words)))
+        again = self.copied(records, stems, script_q, marked, question, stem, sentence) if draws is not None else [None] * n
         roles = w.roles[mine[0]]
-        role = [np.bincount(mine[1], roles >> i & 1, n) > 0 for i in range(4)]
+        bearing = np.flatnonzero(roles)
+        who, what = mine[1][bearing], roles[bearing]
+        role = list(zip(*((np.bincount(who, what >> i & 1, n) > 0).tolist() for i in range(len(ROLE_SETS)))))
         out, plants = [], []
         for i, (q, a, _, choices) in enumerate(records):
             whole, prefix, core = self.choice(a, choices)
             v = {"empty": [-1, 0 if len(found[i]) < 2 else -1, 0 if "<" in a else -1, -1 if len(inner[i]) >= 4 else 0]}
-            v["refusal"] = self.refusal(own[i], own_words[i], script_a[i], *(bool(r[i]) for r in role))
+            v["refusal"] = self.refusal(own[i], own_words[i], script_a[i], *role[i])
             asks = "?" in a or "？" in a
             if script_q[i] in OWN and script_a[i] == script_q[i]:
                 v["copied_question"] = self.letters(stems[i], asked[i], asks)
@@ -395,16 +421,15 @@ class Voter:
                 v["copied_question"] = [-1, -1, -1, 0]
             else:
                 v["copied_question"] = copies.votes(i, asks)
-            of_question = self.question_side(script_q[i], (lang_q[i], n_q[i]), (lang_t[i], n_t[i]))
-            of_answer = self.answer_side(script_a[i], (lang_a[i], n_a[i]), said[i], len(own_words[i]))
+            of_question, of_answer = sides_q[i], sides_a[i]
             v["other_language"] = self.language(of_question, of_answer)
             v["truncated"] = self.ending(a, core, whole, prefix)
             out.append(v)
             x = dict.fromkeys(PLANTS)
             if draws is not None:
                 x |= {"copied_question": again[i], "truncated": self.shortened(a, choices, int(draws[i]))}
-                x["asked"] = repr(of_question) if of_question[1] >= 0 else None
-                x["told"] = repr(of_answer) if of_answer[1] >= 0 and of_answer[2] else None
+                x["asked"] = shown(of_question) if of_question[1] >= 0 else None
+                x["told"] = shown(of_answer) if of_answer[1] >= 0 and of_answer[2] else None
             plants.append(x)
         return out, plants
 
@@ -414,30 +439,46 @@ class Voter:
         start = ASKING.match(text)
         return words(text[start.end() :]) if start else said
 
-    def copied(self, records: list[Record], stems: list[str], scripts: list[str | None], question, stem, sentence: np.ndarray) -> list[int | None]:
-        """How the functions vote on each question as its own answer; None where that is too short to be planted."""
+    def copied(self, records: list[Record], stems: list[str], scripts: list[str | None], marked: list[list[str]], question, stem, sentence: np.ndarray) -> list[int | None]:
+        """How the functions vote on each question as its own answer; None where that is too short to be planted.
+
+        All words and runs of such an answer come from the question, and so do those of each sentence; only answers that lose
+        tags or an announcement are compared with it.
+        """
         answers = [t.strip() for t in stems]
         inner = [TAGS.sub(" ", t) if "<" in t else t for t in answers]
-        found = [words(t) for t in inner]
-        asked = [self.asked(t, said) for t, said in zip(inner, found)]
-        copies = Copies(len(records), self.words.of(asked), question, stem, sentence, 4)
+        less = {i: self.asked(t, words(t)) for i, t in enumerate(inner) if t is not answers[i] or ASKING.match(t)}
+        sizes = np.bincount(stem[1], minlength=len(records))
+        whole = np.zeros(len(records), bool)
+        whole[stem[1][np.bincount(sentence)[sentence] >= 4]] = True
+        sizes, whole = sizes.tolist(), whole.tolist()
+        if less:
+            at = np.full(len(records), -1)
+            at[list(less)] = np.arange(len(less))
+            part = lambda x: (x[0][at[x[1]] >= 0], at[x[1]][at[x[1]] >= 0])
+            copies = Copies(len(less), self.words.of(list(less.values())), part(question), part(stem), sentence[at[stem[1]] >= 0], 4)
         out = []
         for i, (q, _, _, choices) in enumerate(records):
             a = answers[i]
-            if len(found[i]) < 5 and len(words(q)) < 5:
-                out.append(None)
-                continue
-            if not found[i] or (len(found[i]) <= 4 and " ".join(found[i]) in PLACEHOLDERS):
-                out.append(code([0, 0, 0, 0]))
-                continue
+            size = len(words(inner[i])) if i in less else sizes[i]
+            if size < 5:
+                if len(words(q)) < 5:
+                    out.append(None)
+                    continue
+                if not size or " ".join(words(inner[i])) in PLACEHOLDERS:
+                    out.append(code([0, 0, 0, 0]))
+                    continue
             asks = "?" in a or "？" in a
-            bare_text = QUOTED.sub(" ", a) if not QUOTES.isdisjoint(a) else a
+            bare_text = QUOTED.sub(" ", a) if scripts[i] in OWN and not QUOTES.isdisjoint(a) else a
             if scripts[i] in OWN and (bare_text is a or script(bare_text if WORD.search(bare_text) else a) == scripts[i]):
-                out.append(code(self.letters(stems[i], asked[i], asks)))
-            elif len(asked[i]) < 5 or any(self.choice(a, choices)[:2]):
+                asked = less[i] if i in less else [x for x in marked[i] if x not in SENTENCE_ENDS]
+                out.append(code(self.letters(stems[i], asked, asks)))
+            elif (len(less[i]) if i in less else size) < 5 or any(self.choice(a, choices)[:2]):
                 out.append(code([-1, -1, -1, 0]))
+            elif i in less:
+                out.append(code(copies.votes(int(at[i]), asks)))
             else:
-                out.append(code(copies.votes(i, asks)))
+                out.append(code([1, 1, 1 if whole[i] else -1, int(asks)]))
         return out
 
     def shortened(self, answer: str, choices: list[tuple[str, str]], draw: int) -> int | None:
@@ -458,6 +499,8 @@ class Voter:
         whole = prefix = False
         if core:
             for k, v in choices:
+                if len(core) > len(k) + 2 + len(v):
+                    continue
                 for full in (f"{k}. {v}", f"{k}) {v}", f"{k}: {v}", v):
                     if full.startswith(core):
                         f = bare(full)
@@ -468,9 +511,10 @@ class Voter:
         return whole, prefix, core
 
     @staticmethod
-    def refusal(own: str, said: list[str], script_a: str | None, may_decline: bool, may_offer: bool, may_speak: bool, first: bool) -> list[int]:
+    def refusal(own: str, said: list[str], script_a: str | None, may_decline: bool, may_once: bool, may_offer: bool, may_speak: bool, first: bool) -> list[int]:
         low = own.replace("’", "'")
-        declines = (may_decline or script_a != "latin") and REFUSALS.search(low) is not None
+        ways = REFUSALS if may_decline or script_a != "latin" else REFUSALS_ONCE if may_once else None
+        declines = ways is not None and ways.search(low) is not None
         sorry = APOLOGY.match(low) is not None
         offer = may_offer and OFFER.search(low) is not None
         third = (may_speak or said[0] in PERSONS or "apologi" in low) and "i" not in said and THIRD.match(low) is not None
@@ -491,16 +535,14 @@ class Voter:
     def question_side(script_q, asked, thought) -> QuestionSide:
         """What the votes on the language need of question and thinking: script, language if known, that of the thinking."""
         (lang_q, n_q), (lang_t, n_t) = asked, thought
-        return script_q, int(lang_q) if n_q >= 2 else -1, int(lang_t) if n_t >= 3 else -1
+        return script_q, lang_q if n_q >= 2 else -1, lang_t if n_t >= 3 else -1
 
     @staticmethod
-    def answer_side(script_a, told, said: np.ndarray, length: int) -> AnswerSide:
+    def answer_side(script_a, told, said, length: int) -> AnswerSide:
         """What they need of an answer: script, language, whether several function words tell it, whether it is short; how
         many words belong to one language, up to two; the languages that have half of these or more; whether they are many."""
-        lang_a, n_a = told
-        n_w = int(said.max(initial=0))
-        held = sum(1 << k for k, n in enumerate(said.tolist()) if n * 2 >= n_w)
-        return script_a, int(lang_a), bool(n_a >= 2), length <= 8, min(n_w, 2), held, n_w * 2 > length or n_w >= 3
+        (lang_a, n_a), (n_w, held) = told, said
+        return script_a, lang_a, n_a >= 2, length <= 8, min(n_w, 2), held, n_w * 2 > length or n_w >= 3
 
     @staticmethod
     def language(of_question: QuestionSide, of_answer: AnswerSide) -> list[int]:

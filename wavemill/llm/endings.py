@@ -30,11 +30,30 @@ BREAK = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])|\n+")
 MARKS, CLOSERS = set(".!?。！？…‥।؟"), set("\"'”’»)]}>』」）】*_`~")
 OPEN, SHUT = "([{（【「『", ")]}）】」』"
 OPENING = re.compile(r"[(\[{（【「『<]")
+#: ASCII characters as they stand in tokens, all others as spaces: as they are, and lower-cased.
+HELD = {i: chr(i) if chr(i).isalnum() or chr(i) in ",;:-'" else " " for i in range(128)}
+LOWERED = {i: c.lower() for i, c in HELD.items()}
+
+
+def tokens_of(text: str, lower: bool = False) -> list[str]:
+    """TOKEN.findall, lower-cased or not."""
+    if not text.isascii():
+        found = TOKEN.findall(text)
+        return [x.lower() for x in found] if lower else found
+    for c in ",;:":
+        if c in text:
+            text = text.replace(c, f" {c} ")
+    found = text.translate(LOWERED if lower else HELD).split()
+    if "'" in text or "-" in text:  # within a word or between words
+        return [x for t in found for x in ((t,) if t.isalnum() else TOKEN.findall(t))]
+    return found
 
 
 def strip_end(text: str) -> str:
     """Without white space, format characters and emoji at the end, which say nothing about completeness."""
     i = len(text)
+    if i and "!" <= text[-1] <= "~":
+        return text
     while i and (text[i - 1].isspace() or ord(text[i - 1]) >= 0x1F000 or text[i - 1] in "​‍⁠️﻿☀♪♫❤"):
         i -= 1
     return text[:i]
@@ -91,7 +110,7 @@ def sentences(text: str) -> tuple[list[str], str]:
 
 def whole_words(text: str) -> list[str]:
     """Tokens of a text, without the last one if no final mark follows it: that may be a piece of a word."""
-    tokens = TOKEN.findall(text.lower()) if text.isascii() else [x.lower() for x in TOKEN.findall(text)]
+    tokens = tokens_of(text, True)
     return tokens if finished(text) else tokens[:-1]
 
 
@@ -126,7 +145,7 @@ class EndModel:
         return OPENING.search(text) is not None
 
     def features(self, sentence: str, whole_start: bool = True, found: list[str] | None = None) -> list[int]:
-        found = TOKEN.findall(sentence) if found is None else found
+        found = tokens_of(sentence) if found is None else found
         tokens = [t.lower() for t in found]
         if not tokens:
             return [1]
@@ -136,17 +155,23 @@ class EndModel:
         kind = "A" if last[0].isupper() else "0" if last[0].isdigit() else "a" if last[0].isalpha() else last[0]
         pad = ["^"] * 4 + tokens
         f = [f"k{seen}{longer}{kind}", f"K{seen}{longer}{kind}{min(len(lower), 6)}", f"1{lower}", f"2{pad[-2]} {lower}", f"3{pad[-3]} {pad[-2]} {lower}", f"p{pad[-2]} {seen}{longer}{kind}", f"q{pad[-3]} {pad[-2]} {seen}{longer}", f"r{pad[-4]} {pad[-3]}"]
-        shape = [t if t in self.heads else "*" for t in tokens[-8:]]
+        heads, short = self.heads, whole_start and n <= 60
+        full = [t if t in heads else "*" for t in (tokens if short else tokens[-8:])]
+        shape = full[-8:]
         f += [f"s{' '.join(shape[-4:])}", f"S{' '.join(shape)}", f"t{' '.join(shape[-2:])} {seen}"]
-        if whole_start and n <= 60:
-            first, two = tokens[0], " ".join(tokens[:2])
-            full = [t if t in self.heads else "*" for t in tokens]
-            f += [f"f{two}|{n}", f"g{two}|{lower}", f"h{first}|{pad[-2]} {lower}", f"i{two}|{tokens.count(',')}|{n - 1 - max(i for i, t in enumerate(tokens) if t == ',' or i == 0)}", f"j{' '.join(full)}", f"l{first}|{min(n, 20)}|{seen}{longer}", f"m{' '.join(full[:2])}|{n}|{kind}"]
-        return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % SIZE for x in f]
+        if short:
+            first, two, commas = tokens[0], " ".join(tokens[:2]), tokens.count(",")
+            after = tokens[::-1].index(",") if commas else n - 1
+            f += [f"f{two}|{n}", f"g{two}|{lower}", f"h{first}|{pad[-2]} {lower}", f"i{two}|{commas}|{after}", f"j{' '.join(full)}", f"l{first}|{min(n, 20)}|{seen}{longer}", f"m{' '.join(full[:2])}|{n}|{kind}"]
+        crc = zlib.crc32
+        try:
+            return [crc(x.encode()) % SIZE for x in f]
+        except UnicodeEncodeError:
+            return [crc(x.encode("utf-8", "surrogatepass")) % SIZE for x in f]
 
     def score(self, sentence: str, whole_start: bool = True) -> float:
         """Log-odds that the sentence, from which final marks are taken, is not complete."""
-        tokens = TOKEN.findall(sentence)
+        tokens = tokens_of(sentence)
         dangling = DANGLING_WEIGHT if len(tokens) > 2 and tokens[-1] in DANGLING else 0.0
         return float(self.weights[self.features(sentence, whole_start, tokens)].sum()) + dangling
 
@@ -164,9 +189,9 @@ class EndModel:
         if finished(t):
             return -12.0
         last = last_sentence(t)
-        if t[-1] in "-‐–,;" and TOKEN.findall(t[:-1]):
+        if t[-1] in "-‐–,;" and TOKEN.search(t[:-1]):
             return max(4.0, self.score(bare(last[:-1]), len(last) < 400))
-        if not TOKEN.findall(last):
+        if not TOKEN.search(last):
             return -6.0
         if t[-1] in CLOSERS:
             return -12.0
@@ -225,7 +250,7 @@ def fit(texts: Iterable[str], seed: int = 5, rounds: int = 6, words: tuple[lexic
         target.append(0.0)
         weight.append(w)
         cut = s[: int(rng.integers(1, len(s)))].rstrip() if len(s) > 1 else s
-        if cut and TOKEN.findall(cut):
+        if cut and TOKEN.search(cut):
             rows.append(model.features(cut, start))
             target.append(1.0)
             weight.append(1.0)

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
+from itertools import chain, repeat
 from urllib.parse import urlparse
 
 import numpy as np
@@ -30,6 +31,11 @@ def word_key(word: str) -> int:
     return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") & MASK
 
 
+def word_keys(words: list[str]) -> np.ndarray:
+    digests = b"".join([blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words])
+    return np.frombuffer(digests, "<i8") & MASK
+
+
 def prefix_keys(word: str) -> Iterator[int]:
     """word_key of each prefix, the word itself last, in time linear in the word."""
     h = blake2b(digest_size=8)
@@ -87,12 +93,8 @@ class Table:
         if (v := self.cache.get(word)) is not None:
             return v
         v, k = 0, word_key(word)
-        slot = k % self.parts
-        if slot not in self.files:
-            path = f"{self.folder}/{slot}.npy"
-            self.files[slot] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-        if (a := self.files[slot]) is not None:
-            i = int(np.searchsorted(a, k << 8))
+        if (a := self.file(k % self.parts)) is not None:
+            i = int(a.searchsorted(k << 8))
             if i < len(a) and int(a[i]) >> 8 == k:
                 v = int(a[i]) & 255
         if len(word) <= 100:
@@ -101,6 +103,24 @@ class Table:
             self.cache[word] = v
         return v
 
+    def file(self, slot: int) -> np.ndarray | None:
+        if slot not in self.files:
+            path = f"{self.folder}/{slot}.npy"
+            self.files[slot] = np.asarray(np.load(path, mmap_mode="r")) if os.path.exists(path) else None
+        return self.files[slot]
+
+    def get_all(self, words: list[str]) -> np.ndarray:
+        """get of each word, which aren't remembered."""
+        keys, out = word_keys(words), np.zeros(len(words), np.int64)
+        slots = keys % self.parts
+        order = np.argsort(slots, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(slots[order])) + 1) if len(words) else ():
+            if (a := self.file(int(slots[mine[0]]))) is not None:
+                k = keys[mine]
+                there = a[np.minimum(a.searchsorted(k << 8), len(a) - 1)]
+                out[mine] = np.where(there >> 8 == k, there & 255, 0)
+        return out
+
 
 def save(values: DataFrame) -> Table:
     """Writes (h, v), one row a key, v from 1 to 255, to the shared folder. The files go when the driver ends."""
@@ -129,18 +149,18 @@ def count_words(texts: DataFrame, tally: Callable[[list[str]], Iterator[tuple[st
     different = texts.filter(F.col(column).isNotNull()).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter[str]] = {}
+        held: defaultdict[str, Counter[str]] = defaultdict(Counter)
 
         def out() -> pa.RecordBatch:
-            rows = [(name, w, n) for name, c in held.items() for w, n in c.items()]
+            columns = [x for name, c in held.items() for x in repeat(name, len(c))], list(chain(*held.values())), list(chain(*(c.values() for c in held.values())))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["list", "word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["list", "word", "n"])
 
         for big in batches:
             for at in range(0, big.num_rows, SLICE):
                 for name, words in tally(big.column(0).slice(at, SLICE).to_pylist()):
-                    held.setdefault(name, Counter()).update(words)
-                    if len(words) > HELD:
+                    held[name].update(words)
+                    if len(held[name]) > HELD:
                         yield out()
                 if sum(map(len, held.values())) > HELD:
                     yield out()
