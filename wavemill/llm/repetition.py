@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, first_per_key, mix64, spread, words
+from .common import WORD, cut, first_per_key, mix64, spread, words  # noqa: F401
 from .labelmodel import posteriors
 
 RUN = 5
